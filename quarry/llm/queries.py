@@ -33,7 +33,7 @@ OP1_SQL = f"""
 WITH pages AS (
   SELECT source, count(*) AS n_pages FROM documents GROUP BY source
 ), lines AS (
-  SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x, ' ')))) AS line FROM documents
+  SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')))) AS line FROM documents
 ), over AS (
   SELECT l.source, l.line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
   WHERE l.line <> '' GROUP BY l.source, l.line, p.n_pages
@@ -42,7 +42,7 @@ WITH pages AS (
   SELECT source, list(line) AS drops FROM over GROUP BY source
 ), split AS (
   SELECT d.doc_id, string_split(d.text, chr(10)) AS ls,
-         list_filter(string_split(d.text, chr(10)), x -> NOT list_contains(coalesce(h.drops, []), trim(x, ' '))) AS good
+         list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(h.drops, []), trim(x, ' '))) AS good
   FROM documents d LEFT JOIN per_host h ON d.source IS NOT DISTINCT FROM h.source
 )
 SELECT doc_id, array_to_string(good, chr(10)) AS clean_text, coalesce(len(ls), 0)::BIGINT AS n_lines,
