@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from quarry.functions import values as V
 
 Spec = Mapping[str, object]
-RELATIONS = tuple(r for r, v in V.EVIDENCE.items() if v[0])
-LISTS = ("category", "subject", "languages", "keywords", "capability", "limitation", *RELATIONS)
+RELATIONS = tuple(V.EVIDENCE_COLUMNS)
+LISTS = ("category", "subject", "languages", "keywords", "capability", "limitation", *V.EVIDENCE_COLUMNS.values())
 NUMBERS = ("parameters",)
 
 
@@ -42,7 +42,7 @@ class Items:
 
     def evidence(self, relations: Sequence[str] = RELATIONS) -> Column:
         known = [r for r in relations if r in RELATIONS]
-        return reduce(lambda a, b: a | b, [F.size(self.list(r)) > 0 for r in known], F.lit(False))
+        return reduce(lambda a, b: a | b, [F.size(self.list(V.EVIDENCE_COLUMNS[r])) > 0 for r in known], F.lit(False))
 
 
 def lowered(values: object) -> Column:
@@ -56,7 +56,7 @@ def overlap(have: Column, want: object) -> Column:
 def any_keyword(i: Items, needles: object, spaced_subjects: bool) -> Column:
     subject = F.array_join(i.list("subject"), " ")
     subject = F.replace(subject, F.lit("-"), F.lit(" ")) if spaced_subjects else subject
-    quotes = [F.array_join(i.list(r), " ") for r in RELATIONS]
+    quotes = [F.array_join(i.list(c), " ") for c in V.EVIDENCE_COLUMNS.values()]
     text = F.lower(F.concat_ws(" ", i.text("name"), i.text("description"), F.array_join(i.list("keywords"), " "), F.array_join(i.list("capability"), " "), subject, *quotes))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(str(n).lower())) for n in needles], F.lit(False))
 

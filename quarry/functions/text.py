@@ -98,7 +98,7 @@ def iso_duration(text: Column) -> Column:
 
 def size_phrase(parameters: Column) -> Column:
     """A parameter count as people type it: number and unit, size words, and words for where it runs."""
-    billion = F.lit(1_000_000_000)
+    billion = F.lit(1_000_000_000).cast("long")
 
     def six(v: Column) -> Column:
         """Six significant digits without trailing zeros."""
@@ -134,7 +134,7 @@ def age_bucket(modified: Column, as_of: Column) -> Column:
 def recency(modified: Column, as_of: Column, half_life_days: float = 365.0) -> Column:
     """Half-life decay by whole days of age, to four places; no date scores 0."""
     days = F.floor((F.unix_micros(as_of) - F.unix_micros(modified)) / 86_400e6)
-    return F.coalesce(F.bround(F.pow(F.lit(0.5), F.greatest(F.lit(0), days) / F.lit(half_life_days)), 4), F.lit(0.0))
+    return F.when(modified.isNull(), 0.0).otherwise(F.bround(F.pow(F.lit(0.5), F.greatest(F.lit(0), days) / F.lit(half_life_days)), 4))
 
 
 def canonical_language(value: Column) -> Column:
@@ -202,6 +202,6 @@ def card_anchor(page: Column, version: Column, quote: Column) -> Column:
 
 def tidy_reason(text: Column) -> Column:
     """A judge's reason without stock openings and edge signs, its first letter upper case."""
-    core = F.trim(F.lit(". "), F.coalesce(text, F.lit("")))
+    core = F.ltrim(F.trim(F.coalesce(text, F.lit(""))), F.lit(". "))
     core = F.regexp_replace(core, "(?i)^(?:" + "|".join(V.REASON_OPENINGS) + r")\s*", "")
     return F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 1 << 20))

@@ -216,7 +216,7 @@ def emit(facts: DataFrame, claims: DataFrame, enrichment: DataFrame, assigned: D
     lists = ranked.groupBy("repo_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("is_subject"), F.col("label")))).alias("subject"),
         F.array_sort(F.collect_set(F.when(~F.col("is_subject"), F.col("label")))).alias("capability"),
-        *[F.array_sort(F.collect_set(F.when(F.col("evidence_type") == r, F.nullif("quote", F.lit(""))))).alias(r) for r, v in V.EVIDENCE.items() if v[0]],
+        *[F.array_sort(F.collect_set(F.when(F.col("evidence_type") == r, F.nullif("quote", F.lit(""))))).alias(c) for r, c in V.EVIDENCE_COLUMNS.items()],
     )
     others = assigned.filter("discovery_scope = 'variant'").groupBy("family_id").agg(F.array_sort(F.collect_list("repo_id")).alias("variants_"))
     own = assigned.select("repo_id", "family_id", "relation", "discovery_scope", "canonical_repo_id")
@@ -250,7 +250,7 @@ def emit(facts: DataFrame, claims: DataFrame, enrichment: DataFrame, assigned: D
         "base_model": some(links(F.col("base_models"))),
         "trained_on_dataset": some(links(F.col("datasets"), "datasets/")),
         "model_card": F.when(F.col("card_status") == "ok", F.concat("url", F.lit("/blob/"), F.coalesce(F.nullif("revision", F.lit("")), F.lit("main")), F.lit("/README.md"))),
-        **{r: some(F.col(r)) for r, v in V.EVIDENCE.items() if v[0]},
+        **{c: some(F.col(c)) for c in V.EVIDENCE_COLUMNS.values()},
         **{c: F.col(c) for c in ("task", "library", "architecture", "parameters", "context_length", "mixture_of_experts", "downloads", "likes", "trending_score", "gated", "license", "license_status", "declared_license", "card_status")},
     }
     if abstracts is not None:
@@ -297,7 +297,7 @@ def retrieval_fields(items: DataFrame) -> DataFrame:
     join = lambda c, sep=" ": F.nullif(F.array_join(F.coalesce(c, empty()), sep), F.lit(""))
     have = set(items.columns)
     col = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
-    quotes = [F.when(F.size(F.coalesce(col(r, NONE), empty())) > 0, F.concat(F.lit(f"{v[1]} "), F.array_join(col(r, NONE), " "))) for r, v in V.EVIDENCE.items() if v[0]]
+    quotes = [F.when(F.size(F.coalesce(col(c, NONE), empty())) > 0, F.concat(F.lit(f"{V.EVIDENCE[r][1]} "), F.array_join(col(c, NONE), " "))) for r, c in V.EVIDENCE_COLUMNS.items()]
     labelled = [F.when(F.coalesce(col(c), F.lit("")) != "", F.concat(F.lit(f"{c} "), col(c))) for c in ("library", "architecture")]
     size = F.when(col("parameters", "long").isNotNull(), text.size_phrase(col("parameters", "long")))
     name = F.concat_ws(" ", F.nullif(col("name"), F.lit("")), col("repo_id"), F.col("creator.name") if "creator" in have else F.lit(None).cast("string"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import values as V
 
-RELATIONS = tuple(r for r, v in V.EVIDENCE.items() if v[0])
+RELATIONS = tuple(V.EVIDENCE_COLUMNS.values())
 
 
 def composition(df: DataFrame, dimensions: Mapping[str, Column]) -> DataFrame:
