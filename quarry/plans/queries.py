@@ -367,16 +367,16 @@ SCORE_SQL = f"""{CANDIDATE_SQL}, s AS (SELECT *, round(0.35 * {PCT.format(v='dow
   + 0.1 * 0.5 + 0.1 * 0.4 + 0.1 * (non_english::INT + small_model::INT + rare_publisher::INT) / 4.0 - CASE WHEN repo_id % 13 = 0 THEN 0.5 ELSE 0 END, 6) AS score FROM c WINDOW w0 AS (PARTITION BY stratum))"""
 
 
-@query(f"WITH {SCORE_SQL} SELECT repo_id, stratum, round(score, 5) AS score FROM s")
+@query(f"WITH {SCORE_SQL} SELECT repo_id, stratum, floor(score * 10000 + 0.305)::BIGINT AS basis_points FROM s")
 def stratum_score(spark, sf):
-    return scored(spark, sf).select("repo_id", "stratum", F.round("score", 5).alias("score"))
+    return scored(spark, sf).select("repo_id", "stratum", F.floor(F.col("score") * 10000 + 0.305).alias("basis_points"))
 
 
-@query(f"""WITH {SCORE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY stratum, author ORDER BY round(score, 5) DESC, repo_id) AS of_cap FROM s),
-  b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY round(score, 5) DESC, repo_id) AS position FROM a WHERE of_cap <= 3)
+@query(f"""WITH {SCORE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY stratum, author ORDER BY score DESC, repo_id) AS of_cap FROM s),
+  b AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY score DESC, repo_id) AS position FROM a WHERE of_cap <= 3)
 SELECT repo_id, stratum, author, of_cap::INT AS of_cap, position::INT AS position FROM b WHERE position <= 40""")
 def capped_top(spark, sf):
-    return selection.capped_top(scored(spark, sf).withColumn("score", F.round("score", 5)), ["stratum"], ["author"], 3, 40).select("repo_id", "stratum", "author", "of_cap", "position")
+    return selection.capped_top(scored(spark, sf), ["stratum"], ["author"], 3, 40).select("repo_id", "stratum", "author", "of_cap", "position")
 
 
 @query()
