@@ -25,6 +25,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again."""
+    path = f"{shared_folder(df.sparkSession)}/quarry-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hadoop(spark: SparkSession, path: str):
     """The file system of a path and the path, as Spark's own classes see them."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
