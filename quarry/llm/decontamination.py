@@ -234,7 +234,7 @@ def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item
             rows.append({"n_words": len(own), "n_hit": sum(e - s for s, e in spans), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(ids), "clean_text": clean})
         return pa.array(rows, kind)
 
-    return df.withColumn(found, scan(F.col(text)))
+    return df.withColumn(found, scan.asNondeterministic()(F.col(text)))  # a filter on it doesn't evaluate it twice
 
 
 def contaminated(found: str, coverage: int = COVERAGE):
