@@ -48,6 +48,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of an Arrow batch at most: what a worker holds doesn't depend on how long texts are, but for a single one.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches to BATCH_BYTES, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def as_bytes(texts: pa.Array) -> list[bytes | None]:
     """The UTF-8 of a string array's values, without decoding them."""
     if isinstance(texts, pa.ChunkedArray):

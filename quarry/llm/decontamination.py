@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, fresh
+from quarry.llm.common import as_bytes, bound_batches, fresh
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 13
@@ -209,6 +209,7 @@ def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item
     item id that comes twice counts once.  Repeated rows give repeated rows.  The test items are bounded: each
     automaton holds ``block_words`` words, and more blocks are scanned one after another over the same batch.
     """
+    bound_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     shared = [context.broadcast(SuffixAutomaton(b, window)) for b in item_blocks(items, item_id, item_text, block_words)]  # each of a bounded size
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])

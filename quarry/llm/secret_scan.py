@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes
+from quarry.llm.common import as_bytes, bound_batches
 
 
 @dataclass(frozen=True)
@@ -367,6 +367,7 @@ def scan_frame(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules:
     Offsets are code points, ends exclusive.  A null or empty text has an empty array.  Repeated rows give
     repeated rows, an empty table none; other columns are ignored.
     """
+    bound_batches(df.sparkSession)
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     @F.arrow_udf("array<struct<kind: string, start: int, end: int>>")

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from quarry.llm.common import as_bytes, pieces
+from quarry.llm.common import as_bytes, bound_batches, pieces
 
 SPACE = "▁"
 #: Cuts that a worker remembers before it forgets them all.
-MEMO_CUTS = 400_000
+MEMO_CUTS = 150_000
 #: Kinds of pieces in a model file.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 BPE = 2
@@ -273,7 +273,7 @@ ENCODED = "struct<n_tokens: long, ids: array<int>, begins: array<int>, ends: arr
 
 def lists(parts: Sequence[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    values = np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32)
+    values = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
@@ -284,6 +284,7 @@ def encode_column(df: DataFrame, model_file: str, text: str = "text", to: str =
     empty table none.  ``model_file`` has to be readable under the same path on every executor.
     """
 
+    bound_batches(df.sparkSession)
     @F.arrow_udf(ENCODED)
     def encode(texts: pa.Array) -> pa.Array:
         codec = codec_for(model_file)
@@ -302,13 +303,14 @@ def encoded_documents(df: DataFrame, model_file: str, id_col: str = "doc_id", te
 
     kind = "struct<n_tokens: long, ids: array<int>, ends: array<int>, ids_sha256: string, decoded_sha256: string>"
 
+    bound_batches(df.sparkSession)
     @F.arrow_udf(kind)
     def encode(texts: pa.Array) -> pa.Array:
         codec = codec_for(model_file)
         ids, ends, digests = [], [], []
         for i, _, e, joined in codec.encode_all(as_bytes(texts)):
-            ids.append(i)
-            ends.append(e)
+            ids.append(i.astype(np.int32))
+            ends.append(e.astype(np.int32))
             digests.append((sha256(joined.encode()).hexdigest(), sha256(codec.decode(i).encode()).hexdigest()))
         columns = [pa.array([len(i) for i in ids], pa.int64()), lists(ids), lists(ends), pa.array([d[0] for d in digests], pa.string()), pa.array([d[1] for d in digests], pa.string())]
         return pa.StructArray.from_arrays(columns, names=["n_tokens", "ids", "ends", "ids_sha256", "decoded_sha256"])
@@ -325,6 +327,7 @@ def encoding_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", tex
 
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spanned_bytes", pa.int64())])
 
+    bound_batches(df.sparkSession)
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string, spanned_bytes: long>")
     def digests(texts: pa.Array) -> pa.Array:
         codec, rows = codec_for(model_file), []

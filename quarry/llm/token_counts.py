@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes
+from quarry.llm.common import as_bytes, bound_batches
 
 #: Words a worker remembers the counts of before it forgets them all.
 MEMO_WORDS = 200_000
@@ -106,6 +106,7 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text: s
     ``model_file`` has to be readable under the same path on every executor, as the tokenizer package is.
     """
 
+    bound_batches(df.sparkSession)
     @F.arrow_udf("struct<n_words: long, n_tokens: long, n_unknown: long, max_word_tokens: long>")
     def counts(texts: pa.Array) -> pa.Array:
         counter, memo = counter_for(model_file)

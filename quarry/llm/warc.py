@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import bound_batches, materialise
 
 #: Compressed bytes after which a file is rolled.
 ROLL_BYTES = 256 << 20
@@ -135,6 +135,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     never revisited; a null url becomes a urn.  An empty table gives an empty manifest.  Other columns are ignored.
     """
     spark = pages.sparkSession
+    bound_batches(pages.sparkSession)
     payload = F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     narrow = materialise(rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes")), "digests")
