@@ -64,6 +64,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP2_SQL = f"""
+WITH dw AS (SELECT doc_id, {WORDS} AS w FROM documents), iw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+  sized AS (SELECT item_id, w, least({decontamination.WINDOW}, len(w)) AS k FROM iw WHERE len(w) > 0),
+  win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+  ks AS (SELECT DISTINCT k FROM win),
+  dwin AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
+  hit AS (SELECT doc_id, i, k, item_id FROM dwin JOIN win USING (k, s)),
+  cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY 1),
+  found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {decontamination.COVERAGE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -89,7 +105,18 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
+    return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+  b AS (SELECT page_id, payload_bytes, hex, array_to_string(list_transform(string_split(hex, ''), lambda c: [{NIBBLES}][instr('0123456789abcdef', c)]), '') AS bits, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: CASE substr(bits, 5 * i + j + 1, 1) WHEN '1' THEN 2 ** (4 - j) ELSE 0 END))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,4 +154,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL}
