@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -49,7 +50,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Bytes of an Arrow batch at most: what a worker holds doesn't depend on how long texts are, but for a single one.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -60,6 +61,19 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def release() -> None:
+    """Give memory that a batch needed back to the system: workers live on between stages, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def as_bytes(texts: pa.Array) -> list[bytes | None]:
     """The UTF-8 of a string array's values, without decoding them."""
     if isinstance(texts, pa.ChunkedArray):

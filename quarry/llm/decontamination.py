@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, bound_batches, fresh
+from quarry.llm.common import as_bytes, bound_batches, release, fresh
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 13
@@ -233,6 +233,8 @@ def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item
             spans = unite(hits)
             clean = cut(data, spans).decode("utf-8", "replace") if spans and with_text else None
             rows.append({"n_words": len(own), "n_hit": sum(e - s for s, e in spans), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(ids), "clean_text": clean})
+        del words, got
+        release()
         return pa.array(rows, kind)
 
     return df.withColumn(found, scan.asNondeterministic()(F.col(text)))  # a filter on it doesn't evaluate it twice

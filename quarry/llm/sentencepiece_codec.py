@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from quarry.llm.common import as_bytes, bound_batches, pieces
+from quarry.llm.common import as_bytes, bound_batches, release, pieces
 
 SPACE = "▁"
 #: Cuts that a worker remembers before it forgets them all.
-MEMO_CUTS = 150_000
+MEMO_CUTS = 100_000
 #: Kinds of pieces in a model file.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 BPE = 2
@@ -312,6 +312,7 @@ def encoded_documents(df: DataFrame, model_file: str, id_col: str = "doc_id", te
             ids.append(i.astype(np.int32))
             ends.append(e.astype(np.int32))
             digests.append((sha256(joined.encode()).hexdigest(), sha256(codec.decode(i).encode()).hexdigest()))
+        release()
         columns = [pa.array([len(i) for i in ids], pa.int64()), lists(ids), lists(ends), pa.array([d[0] for d in digests], pa.string()), pa.array([d[1] for d in digests], pa.string())]
         return pa.StructArray.from_arrays(columns, names=["n_tokens", "ids", "ends", "ids_sha256", "decoded_sha256"])
 
@@ -340,6 +341,7 @@ def encoding_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", tex
                     "spanned_bytes": int((ends - begins).sum()),
                 }
             )
+        release()
         return pa.array(rows, kind)
 
     return df.select(F.col(id_col), digests(F.col(text)).alias("d")).select(id_col, "d.*")

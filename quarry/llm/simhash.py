@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import as_bytes, bound_batches, fresh, materialise, remove
+from quarry.llm.common import as_bytes, bound_batches, fresh, materialise, release, remove
 
 #: Words of a shingle, seed of its hash, bits at which fingerprints still link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -60,7 +60,9 @@ def add_fingerprint(df: DataFrame, text: str = "text", to: str = "fp", size: int
     bound_batches(df.sparkSession)
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([text_fingerprint(d, size, seed) for d in as_bytes(texts)], np.uint64).view(np.int64))
+        prints = np.array([text_fingerprint(d, size, seed) for d in as_bytes(texts)], np.uint64)
+        release()
+        return pa.array(prints.view(np.int64))
 
     return df.withColumn(to, fp(F.col(text)))
 
