@@ -17,6 +17,10 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.functions import values as V
+from quarry.sources.tables import materialise
+
+#: Bits of monotonically_increasing_id that number the rows inside one partition.
+ROW_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -94,17 +98,42 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
 
 
+def blocks(queries: DataFrame, most: int) -> list[DataFrame]:
+    """``queries`` as frames of at most ``most`` rows.
+
+    More than ``most`` are numbered and written first; a block is a range of these numbers, which begin anew (at 0) in each partition.
+    """
+    if queries.limit(most + 1).count() <= most:
+        return [queries]
+    held = materialise(queries.withColumn("row_", F.monotonically_increasing_id()), "queries")
+    starts, seen = [], 0
+    for p, n in sorted((r[0], r[1]) for r in held.groupBy(F.shiftright("row_", ROW_BITS)).agg(F.count("*")).collect()):  # a row for each task
+        starts += [(p << ROW_BITS) + i for i in range(-seen % most, n, most)]
+        seen += n
+    ends = [*starts[1:], (1 << 63) - 1]
+    return [held.filter((F.col("row_") >= lo) & (F.col("row_") < hi)).drop("row_") for lo, hi in zip(starts, ends, strict=True)]
+
+
+def block_scores(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "id", most_queries: int = 10_000) -> list[DataFrame]:
+    """The rows of ``vector_scores``, as a frame for each block of queries."""
+    parts = weights or {"embedding": 1.0}
+    score = reduce(lambda a, c: a + c, [F.lit(float(w)) * F.coalesce(dot(F.col(f), F.col("vector")), F.lit(0.0)) for f, w in parts.items() if w], F.lit(0.0))
+    return [vectors.crossJoin(F.broadcast(q)).select("query_id", F.col(id_col).alias("id"), score.alias("score")) for q in blocks(queries.select("query_id", "vector"), most_queries)]
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "id", most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, score): products of each query's vector with every document's, a weighted sum over field columns.
 
     ``vectors`` has a vector column for each field of ``weights`` (a zero or null vector adds nothing), or ``embedding``.
-    ``queries`` (query_id, vector) is broadcast and has to be a stated set of at most ``most_queries``.
+    ``queries`` (query_id, vector) are broadcast in blocks of at most ``most_queries``, however many there are.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError("more queries than may be broadcast: pass them in parts")
-    parts = weights or {"embedding": 1.0}
-    score = reduce(lambda a, c: a + c, [F.lit(float(w)) * F.coalesce(dot(F.col(f), F.col("vector")), F.lit(0.0)) for f, w in parts.items() if w], F.lit(0.0))
-    return vectors.crossJoin(F.broadcast(queries.select("query_id", "vector"))).select("query_id", F.col(id_col).alias("id"), score.alias("score"))
+    return reduce(DataFrame.unionByName, block_scores(vectors, queries, weights, id_col, most_queries))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, places: int = 9, **options: object) -> DataFrame:
+    """(query_id, id, score): the best k of ``vector_scores`` for each query, scores rounded before they are ranked.  Each block of queries is reduced before blocks are united."""
+    best = [top_k(s.withColumn("score", F.round("score", places)), k).drop("rank") for s in block_scores(vectors, queries, **options)]
+    return reduce(DataFrame.unionByName, best)
 
 
 def top_k(scores: DataFrame, k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:

@@ -135,15 +135,16 @@ VECTOR_SQL = f"""s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT},
   v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 
 
-def vectors(spark, sf):
+def vectors(spark, sf, k):
+    """The best k of each query."""
     e = table(spark, sf, "embeddings")
     asked_ = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))  # the stated query set
-    return retrieval.vector_scores(e, asked_, id_col="vec_id").withColumn("score", F.round("score", 9))
+    return retrieval.nearest(e, asked_, k, id_col="vec_id")
 
 
 @query(f"WITH {VECTOR_SQL} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM v WHERE rank <= 10")
 def vector_topk(spark, sf):
-    return retrieval.top_k(vectors(spark, sf), 10).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(vectors(spark, sf, 10), 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {VECTOR_SQL}, f AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score, id DESC) AS far FROM s),
@@ -152,7 +153,7 @@ def vector_topk(spark, sf):
   SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank, 'bm25' AS channel FROM v WHERE rank <= 10
   UNION ALL SELECT query_id, id, round(score, 6), rank::INT, 'vector' FROM x WHERE rank <= 10""")
 def vector_topk_excluding(spark, sf):
-    s = vectors(spark, sf)
+    s = vectors(spark, sf, 20)  # ten, and ten more where those are taken out
     return retrieval.compare(s, s, 10).withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank", "channel")
 
 

@@ -169,6 +169,21 @@ def test_field_vectors(spark):
     assert abs(sum(x * x for x in h.h) - 1) < 1e-9 and not any(h.z)
 
 
+def test_more_queries_than_a_block(spark, tiny):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id int, embedding array<double>")
+    q = spark.range(0, 10_007, 1, 3).select(F.col("id").alias("query_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    got = {(r.query_id, r.id): r.score for r in retrieval.vector_scores(v, q).collect()}
+    assert got == {(i, d): float(i) if d == 1 else 2.0 for i in range(10_007) for d in (1, 2)}
+    for n, most in ((7, 3), (6, 3), (7, 1)):
+        sizes = [b.count() for b in retrieval.blocks(q.limit(n).repartition(4), most)]
+        assert sum(sizes) == n and max(sizes) <= most and len(sizes) == -(-n // most)
+    e = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    rows = [sorted(map(tuple, retrieval.nearest(e, asked, 10, id_col="vec_id", most_queries=m).collect())) for m in (3, 10_000)]
+    whole = retrieval.vector_scores(e, asked, id_col="vec_id").withColumn("score", F.round("score", 9))
+    assert rows[0] == rows[1] == sorted(tuple(r)[:3] for r in retrieval.top_k(whole, 10).collect()) and len(rows[0]) == 10 * asked.count()
+
+
 def test_review_sample(spark):
     rows = [(f"i{k}", f"r{k}", f"f{k % 3}", ["s"] if k % 2 else [], ["en"], 10**6, []) for k in range(12)]
     items = spark.createDataFrame(rows, "id string, repo_id string, family string, subject array<string>, languages array<string>, downloads long, trained_on array<string>")
