@@ -36,33 +36,41 @@ def lineage_roots(edges: DataFrame, hops: int | None = None) -> DataFrame:
         for _ in range(hops):
             out = out.join(step, out["root"] == step["at"], "left").select("node", F.coalesce("up", "root").alias("root"))
         return out
-    # Jump lengths double, so a chain ends within log2 of the number of nodes; what then stands on a node with a parent runs in a cycle.
     ensure_checkpoints(edges.sparkSession)
-    jump = nodes.select("node", F.coalesce("parent", "node").alias("root")).checkpoint()
+    jump = doubled(nodes.select("node", F.coalesce("parent", "node").alias("root")))
+    # What now stands on a node with a parent runs in a cycle.
+    inner = nodes.filter("parent is not null").select(F.col("node").alias("inner_"))
+    ended = jump.join(inner, jump["root"] == F.col("inner_"), "left")
+    good = ended.filter("inner_ is null").select("node", "root")
+    return good.unionByName(cycle_roots(ended.filter("inner_ is not null").select("node", "root"), step))
+
+
+def doubled(jump: DataFrame) -> DataFrame:
+    """Steps (node, root) repeated at least as often as there are nodes: lengths double, so a chain ends within log2 of their number."""
+    jump = jump.checkpoint()
     for _ in range(jump.count().bit_length() + 1):
         far = jump.select(F.col("node").alias("at"), F.col("root").alias("up"))
         after = jump.join(far, jump["root"] == far["at"], "left").select("node", F.col("root").alias("was"), F.coalesce("up", "root").alias("root")).checkpoint()
         jump = after.select("node", "root")
         if not after.filter("was != root").limit(1).count():
             break
-    inner = nodes.filter("parent is not null").select(F.col("node").alias("inner_"))
-    ended = jump.join(inner, jump["root"] == F.col("inner_"), "left")
-    good = ended.filter("inner_ is null").select("node", "root")
-    return good.unionByName(cycle_roots(ended.filter("inner_ is not null").select("node"), step))
-
-
-def cycle_roots(nodes: DataFrame, step: DataFrame, rounds: int = 256) -> DataFrame:
-    """Roots of chains that run into a cycle: followed with the path in hand, ending before the first repeated node."""
-    walk = nodes.select("node", F.col("node").alias("root"), F.array("node").alias("path"), F.lit(False).alias("done"))
-    if not walk.limit(1).count():
-        return walk.select("node", "root")
-    for _ in range(rounds):
-        on = walk.join(step, walk["root"] == step["at"], "left")
-        halt = F.col("done") | F.col("up").isNull() | F.array_contains("path", F.col("up"))
-        walk = on.select("node", F.when(halt, F.col("root")).otherwise(F.col("up")).alias("root"), F.when(halt, F.col("path")).otherwise(F.array_append("path", F.col("up"))).alias("path"), halt.alias("done")).checkpoint()
-        if not walk.filter("not done").limit(1).count():
-            break
-    return walk.select("node", "root")
+    return jump
+
+
+def cycle_roots(nodes: DataFrame, step: DataFrame) -> DataFrame:
+    """Roots of chains that run into a cycle, whatever their lengths: ``nodes`` (node, root) stand on their cycle after doubling.
+
+    Nodes of a cycle go round by equal numbers of steps, so together they stand on all of it.  The first node that a chain
+    repeats is the one where it enters, and the node before that one, in the cycle, is the root.
+    """
+    nodes = nodes.checkpoint()
+    if not nodes.limit(1).count():
+        return nodes
+    on = nodes.select(F.col("root").alias("on_")).distinct().checkpoint()
+    first = nodes.select("node").join(step, F.col("node") == step["at"]).join(on, F.col("node") == on["on_"], "left")
+    enters = doubled(first.select("node", F.when(F.col("on_").isNotNull(), F.col("node")).otherwise(F.col("up")).alias("root"))).select("node", F.col("root").alias("enter_"))
+    before = step.join(on, step["at"] == on["on_"], "left_semi").select(F.col("up").alias("next_"), F.col("at").alias("root"))
+    return enters.join(before, enters["enter_"] == before["next_"]).select("node", "root")
 
 
 def canonical_order() -> list[Column]:

@@ -113,6 +113,14 @@ def test_lineage(spark):
     assert seven["c00"] == "c07" and seven["s"] == "s" and seven["x"] == "outside"
 
 
+def test_lineage_of_long_cycles(spark):
+    parent = {f"a{i:03}": f"a{(i + 1) % 300:03}" for i in range(300)}  # a cycle of 300
+    parent |= {f"t{i:03}": f"t{i + 1:03}" if i < 299 else "u0" for i in range(300)} | {"u0": "u1", "u1": "u2", "u2": "u0", "v": "u1", "w": "t150"}  # a long way into one of three
+    parent |= {f"p{i}": f"p{i ^ 1}" for i in range(4)}
+    got = {r.node: r.root for r in families.lineage_roots(spark.createDataFrame(list(parent.items()), "node string, parent string")).collect()}
+    assert got == {k: plain_root(k, parent) for k in parent}
+
+
 def test_resolve(spark):
     rows = [
         ("base/Model-7B", [], "s1", "A", 7, "t", 100, "2020"),
