@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,17 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index.astype(np.int64)
 
 
-def order_key(df: DataFrame, column: str) -> Column:
-    """A double that follows the order of a column: numbers as they are, strings by their first six bytes."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        start = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(start, 16, 10).cast("double")
-    return F.col(column).cast("double")
+def add_key(df: DataFrame, column: str, to: str) -> DataFrame:
+    """``df`` with a double that follows the order of a column: numbers as they are, strings by the place of their value.
+
+    Distinct values are sorted and written with ascending numbers, so values that begin alike differ, however many there are.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return df.withColumn(to, F.col(column).cast("double"))
+    value = fresh(df, "value_")
+    distinct = df.select(F.col(column).alias(value)).filter(F.col(value).isNotNull()).distinct()
+    placed = distinct.repartitionByRange(value).sortWithinPartitions(value).select(value, F.monotonically_increasing_id().cast("double").alias(to))
+    return df.join(materialise(placed, "places"), F.col(column) == F.col(value), "left").drop(value)
 
 
 def cuts(df: DataFrame, keys: Sequence[str], bits: int, accuracy: int = 10_000) -> list[list[float]]:
@@ -90,7 +94,7 @@ def hilbert_shards(
     keys, keyed = [], df
     for d in dims:
         keys.append(fresh(keyed, f"key_{d}"))
-        keyed = keyed.withColumn(keys[-1], order_key(df, d))
+        keyed = add_key(keyed, d, keys[-1])
     borders = cuts(keyed, keys, bits)
     edges = [np.array(b, float) for b in borders]
 

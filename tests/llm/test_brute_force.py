@@ -286,6 +286,13 @@ def test_op10(spark, tiny, docs):
         assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(by[s]))
 
 
+def test_values_that_begin_alike_are_kept_apart(spark):
+    df = spark.range(640).selectExpr("id", "case when id % 65 = 64 then null else concat('https://site-', lpad(cast(id * 7 % 16 as string), 2, '0')) end as source")
+    got = sharding.shard_summary(sharding.hilbert_shards(df, ["source"], 16, ties=["id"]), ["source"]).orderBy("shard").collect()
+    assert [r.n_rows for r in got] == [40] * 16
+    assert all(a.max_source <= b.min_source for a, b in zip(got, got[1:], strict=False))  # the dimension orders shards
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     for d, bits in ((2, 4), (3, 3), (4, 2)):
         cells = np.stack(np.meshgrid(*[np.arange(2**bits)] * d, indexing="ij"), -1).reshape(-1, d)
