@@ -6,9 +6,7 @@ equal values get equal pseudonyms in all documents, different ones different, an
 
 from __future__ import annotations
 
-import hashlib
-import re
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +17,22 @@ ROUNDS = 8
 #: First day and number of days of the dates that are permuted: four centuries, 27 * 5411 days.
 FIRST_DAY, DAYS = date(1700, 1, 1), (27, 5411)
 
-#: Candidates by kind, in order of precedence.  Fixed values.
-EMAIL = r"[\p{L}0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Candidates by kind, in order of precedence.  Runs are possessive and repeats bounded, so that matching takes time in
+#: proportion to a text and little stack whatever the text holds: a name of over 64 signs gives its last 64, and a domain
+#: may have 128 labels.
+EMAIL = r"[\p{L}0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z+])\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3})(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
 KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "phone": PHONE, "ipv4": IPV4, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Digits of an international phone number at most (E.164), and of those that are asked for here at least.
+PHONE_DIGITS = (7, 15)
+#: Country codes of one and of two digits; all others have three.  First digits that aren't given out.  Fixed values.
+SHORT_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+NO_CODES = r"0|28|83|89"
 
 
 def digits(c: Column) -> Column:
@@ -122,11 +127,17 @@ def new_date(m: Column, key: str) -> Column:
     return F.when(m.substr(5, 1) == "-", iso).otherwise(F.concat(iso.substr(9, 2), mark, iso.substr(6, 2), mark, iso.substr(1, 4)))
 
 
+def valid_phone(m: Column) -> Column:
+    d = digits(m)
+    return F.length(d).between(*PHONE_DIGITS) & ~d.rlike(f"^(?:{NO_CODES})")
+
+
 def new_phone(m: Column, key: str) -> Column:
-    """The country code (the digits up to the first other sign) stays."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    rest = m.substr(F.length(code) + 1, F.length(m))
-    return F.concat(code, refill(rest, permute_digits(digits(rest), key, "phone")))
+    """The country code stays, the rest is permuted; both are read off the digits, so all spellings of a number stay linked."""
+    d = digits(m)
+    code = F.regexp_extract(d, f"^(?:{SHORT_CODES}|[0-9]{{3}})", 0)
+    rest = d.substr(F.length(code) + 1, F.length(d))
+    return refill(m, F.concat(code, permute_digits(rest, key, "phone")))
 
 
 def new_ssn(m: Column, key: str) -> Column:
@@ -159,7 +170,7 @@ def replacement(m: Column, key: str) -> Column:
         F.when(m.contains("@"), made("email", new_email(m, key)))
         .when(whole(DATE), F.when(valid_date(m), made("date", new_date(m, key))))
         .when(whole(SSN), F.when(ssn, made("ssn", new_ssn(m, key))))
-        .when(m.startswith("+"), made("phone", new_phone(m, key)))
+        .when(m.startswith("+"), F.when(valid_phone(m), made("phone", new_phone(m, key))))
         .when(whole(IPV4), F.when(octets, made("ipv4", new_ipv4(m, key))))
         .when(luhn_sum(digits(m), True) % 10 == 0, made("card", new_card(m, key)))
     )
@@ -173,8 +184,8 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", to: str = "clean_t
     """``df`` with the text in which validated personal data are pseudonyms, and the number of each kind.
 
     A null text stays null with counts of 0, an empty one stays empty.  What fails its check stays as it is.  Slash and dot dates are
-    read day first.  Every row is treated alone, without a shuffle: repeated rows give repeated rows, an
-    empty table none.  Columns named like the outputs are replaced.
+    read day first.  Time grows with a text's length, however long it is and whether or not it has blanks.  Every row is treated
+    alone, without a shuffle: repeated rows give repeated rows, an empty table none.  Columns named like the outputs are replaced.
     """
     made = fresh(df, "made_")
     matches = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
@@ -191,71 +202,3 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", to: str = "clean_t
         .withColumn(made, mapped)
         .select(*kept, F.when(F.col(made).isNull(), F.col(text)).otherwise(joined).alias(to), *[number(F.col(made), k).alias(counts + k) for k in KINDS])
     )
-
-
-# --- the definition in plain Python, for tests ------------------------------------------------------
-
-
-def naive_feistel(x: int, a: int, b: int, key: str, kind: str) -> int:
-    left, right = divmod(x, b)
-    for i in range(ROUNDS):
-        half = right if i % 2 == 0 else left
-        v = int(hashlib.sha256(f"{key}:{kind}:{i}:{half}".encode()).hexdigest()[:15], 16)
-        if i % 2 == 0:
-            left = (left + v) % a
-        else:
-            right = (right + v) % b
-    return left * b + right
-
-
-def naive_luhn(d: str) -> bool:
-    v = [int(c) for c in reversed(d)]
-    return (sum(v[::2]) + sum(2 * x - 9 * (x > 4) for x in v[1::2])) % 10 == 0
-
-
-def naive_replacement(m: str, key: str) -> tuple[str | None, str]:
-    def permuted(d: str, kind: str) -> str:
-        low = len(d) // 2
-        return str(naive_feistel(int(d), 10 ** (len(d) - low), 10**low, key, kind)).zfill(len(d))
-
-    def refilled(s: str, d: str) -> str:
-        it = iter(d)
-        return "".join(next(it) if c in "0123456789" else c for c in s)
-
-    only = re.sub("[^0-9]", "", m)
-    if "@" in m:
-        return "email", "u" + hashlib.sha256(f"{key}:email:{m.lower()}".encode()).hexdigest()[:11] + m[m.index("@") :]
-    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4}", m):
-        iso = m[4] == "-"
-        y, mo, d = (int(m[:4]), int(m[5:7]), int(m[8:])) if iso else (int(m[6:]), int(m[3:5]), int(m[:2]))
-        try:
-            n = (date(y, mo, d) - FIRST_DAY).days
-        except ValueError:
-            return None, m
-        if not 0 <= n < DAYS[0] * DAYS[1]:
-            return None, m
-        to = FIRST_DAY + timedelta(naive_feistel(n, *DAYS, key, "date"))
-        return "date", to.strftime("%Y-%m-%d") if iso else to.strftime(f"%d{m[2]}%m{m[2]}%Y")
-    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
-        a, g, s = (int(p) for p in m.split("-"))
-        if a in (0, 666) or a > 899 or not g or not s:
-            return None, m
-        y = naive_feistel(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999, key, "ssn")
-        y, s = divmod(y, 9999)
-        a, g = divmod(y, 99)
-        return "ssn", f"{a + 1 + (a + 1 >= 666):03}-{g + 1:02}-{s + 1:04}"
-    if m.startswith("+"):
-        code = re.match(r"\+\d{1,3}(?=\D)", m)
-        code = code[0] if code else ""
-        rest = m[len(code) :]
-        return "phone", code + refilled(rest, permuted(re.sub(r"[^0-9]", "", rest), "phone"))
-    if m.count(".") == 3:
-        o = [int(p) for p in m.split(".")]
-        if max(o) > 255:
-            return None, m
-        y = naive_feistel(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, 65536, key, "ipv4")
-        return "ipv4", ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
-    if not naive_luhn(only):
-        return None, m
-    body = permuted(only[:-1], "card")
-    return "card", refilled(m, body + next(c for c in "0123456789" if naive_luhn(body + c)))
