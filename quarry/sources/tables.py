@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a file of an intermediate table at least, where their number is known.
+ROWS_PER_FILE = 1 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that all executors reach: ``spark.checkpoint.dir``.  Where that is unset, a local run gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -25,11 +31,32 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession)}/quarry-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/quarry-{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: its lineage is cut, and a lost executor costs nothing.
+
+    ``rows``: a bound of its rows, if one is known; a file then gets a million of them, so that small tables aren't
+    dealt out over hundreds of files.  The folder goes when the driver ends, or before by ``remove``.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
+    fs, folder = hadoop(spark, path)
+    fs.deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(*frames: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later plan reads."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/quarry-" in folder:
+                fs, path = hadoop(df.sparkSession, folder)
+                fs.delete(path, True)
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -51,15 +78,18 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_small(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, under a temporary name first and then renamed."""
-    fs, target = hadoop(spark, path)
-    _, temporary = hadoop(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(temporary, True)
+    """A small file, under a temporary name first and then renamed over the old one, so that readers find one or the other."""
+    jvm = spark.sparkContext._jvm
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs, source = hadoop(spark, temporary)
+    out = fs.create(source, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(temporary, target)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(source, target, options)
 
 
 def publish(df: DataFrame, table: str) -> str:
