@@ -1,46 +1,14 @@
-"""Helpers shared by the training-data operators: the shared scratch folder, fresh column names, Arrow input."""
+"""Helpers shared by the training-data operators: fresh column names, Arrow input, memory."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/quarry-{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: its lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete scratch tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}:
-        if "/quarry-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` has not got, in any case."""
     taken = {c.lower() for c in df.columns}

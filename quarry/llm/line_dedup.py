@@ -5,10 +5,11 @@ A host's boilerplate is a line that a large share of the host's pages contain.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, materialise
+from quarry.llm.common import fresh
 
 #: A line is boilerplate if more than this share of its host's pages contain it ...
 RATIO = 0.05
@@ -51,7 +52,8 @@ def drop_lines(
     found = boilerplate(df, text, host, ratio, min_pages)
     mark, at, lines = fresh(df, "keys_"), fresh(df, "host_at_"), fresh(df, "lines_")
     found = found.select(F.col("h").alias(at), F.col("keys").alias(mark))
-    found = materialise(found, "boilerplate")
+    # Two jobs need the lists, so they are kept where they were made; an executor that is lost takes nothing that can't be made again.
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     size = found.agg(F.sum(F.size(mark) * 16 + 64)).first()[0] or 0
     joined = df.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, df[host].eqNullSafe(F.col(at)), "left")
     split = F.when(F.col(text).isNotNull(), F.split(F.col(text), "\n", -1))

@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, materialise
+from quarry.llm.common import bound_batches
+from quarry.sources.tables import materialise
 
 #: Compressed bytes after which a file is rolled.
 ROLL_BYTES = 256 << 20

@@ -3,8 +3,10 @@
 import hashlib
 import re
 from datetime import date, timedelta
+from itertools import combinations
 
 from quarry.llm.pii import DAYS, FIRST_DAY, ROUNDS
+from quarry.llm.simhash import DISTANCE
 
 def naive_feistel(x: int, a: int, b: int, key: str, kind: str) -> int:
     left, right = divmod(x, b)
@@ -70,3 +72,21 @@ def naive_replacement(m: str, key: str) -> tuple[str | None, str]:
         return None, m
     body = permuted(only[:-1], "card")
     return "card", refilled(m, body + next(c for c in "0123456789" if naive_luhn(body + c)))
+
+
+def naive_components(fps: list[int], ids: list[int], distance: int = DISTANCE) -> list[int]:
+    """The definition, by comparing all pairs."""
+    root = list(range(len(fps)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= distance:
+            root[find(i)] = find(j)
+    least: dict[int, int] = {}
+    for i in range(len(fps)):
+        least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [least[find(i)] for i in range(len(fps))]

@@ -52,12 +52,13 @@ def test_op3(spark, tiny, docs):
         prints[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert got[i].fingerprint == f"{prints[i]:016x}"
     ids = list(docs)
-    for i, c in zip(ids, simhash.naive_components([prints[i] for i in ids], ids), strict=True):
+    for i, c in zip(ids, plain_versions.naive_components([prints[i] for i in ids], ids), strict=True):
         assert got[i].component_id == c
 
 
-def test_simhash_links_of_clusters(spark):
-    """Balls of close fingerprints, chains and a bucket of several tiles."""
+@pytest.mark.parametrize("bucket", [2048, 16, 1])
+def test_simhash_links_of_clusters(spark, bucket):
+    """Balls of close fingerprints, chains and crowded buckets."""
     rng = random.Random(1)
     prints = set()
     for _ in range(6):
@@ -71,14 +72,14 @@ def test_simhash_links_of_clusters(spark):
     prints |= {rng.getrandbits(64) for _ in range(500)} | {0}
     fps = sorted(prints)
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    old = simhash.TILES
-    simhash.TILES = (16, 64)
+    old = simhash.BUCKET
+    simhash.BUCKET = bucket
     try:
         nodes = spark.createDataFrame([(s,) for s in signed], "fp long")
         root = {r.node: r.root for r in simhash.components(simhash.links_of(nodes, "fp")).collect()}
     finally:
-        simhash.TILES = old
-    want = simhash.naive_components(fps, list(range(len(fps))))
+        simhash.BUCKET = old
+    want = plain_versions.naive_components(fps, list(range(len(fps))))
     groups = {}
     for k, s in enumerate(signed):
         groups.setdefault(want[k], set()).add(root.get(s, s))

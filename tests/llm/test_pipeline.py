@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import corpus_pipeline
+import plain_versions
 from quarry.llm import decontamination as dc
 from quarry.llm import line_dedup, quality, simhash
 from quarry.llm.queries import model_file, table
@@ -27,7 +28,7 @@ def test_pipeline(spark, tiny):
     over = {k for k, n in seen.items() if n >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * pages[k[0]]}
     clean = {i: "\n".join(x for x in text.split("\n") if (source, x.strip(" ")) not in over) for i, (text, source) in kept.items()}
     ids = sorted(clean)
-    groups = simhash.naive_components([simhash.text_fingerprint(clean[i].encode()) for i in ids], ids)
+    groups = plain_versions.naive_components([simhash.text_fingerprint(clean[i].encode()) for i in ids], ids)
     clean = {i: clean[i] for i, g in zip(ids, groups, strict=True) if i == g}
     items = [(str(r.item_id), dc.words_of(r.text.encode())) for r in table(spark, tiny, "benchmark").collect()]
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file())
