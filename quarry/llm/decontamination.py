@@ -8,6 +8,7 @@ tells whether a window of an item occurs there.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,8 +22,10 @@ from quarry.llm.common import as_bytes, bound_batches, release, fresh
 WINDOW = 13
 #: A document is contaminated if this many times its hit words are at least its words.
 COVERAGE = 20
-#: Words of items in one automaton: larger item sets are cut to blocks of so many, each scanned in turn.
+#: Words of items in one automaton: larger item sets are cut to blocks of so many.
 BLOCK_WORDS = 400_000
+#: Automata that a worker holds at once, and bytes of text that are taken together where there are more.
+HELD, TOGETHER_BYTES = 5, 16 << 20
 
 #: Bytes to normalised bytes: A-Z to lower case, other ASCII than digits and letters to spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -73,6 +76,19 @@ class SuffixAutomaton:
                 while self.length[self.link[at]] >= len(ids):
                     at = self.link[at]
                 self.short.setdefault(at, []).append((len(ids), k))
+        self._pack()
+
+    def _pack(self) -> None:
+        """Flat arrays in place of a dictionary for each state: most states have one way on, its word and where it leads; dictionaries stay for the others."""
+        self.word, self.to, self.more = array("i", [-1]) * len(self.next), array("i", [-1]) * len(self.next), {}
+        for state, ways in enumerate(self.next):
+            if len(ways) == 1:
+                ((self.word[state], self.to[state]),) = ways.items()
+            elif ways:
+                self.more[state] = ways
+        self.more.setdefault(0, {})
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.next
 
     def _extend(self, last: int, t: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -114,7 +130,7 @@ class SuffixAutomaton:
 
     def scan(self, words: Sequence[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Maximal spans of hit words (start, end) and the numbers of the items with windows that occur."""
-        nxt, link, length, least = self.next, self.link, self.length, self.least
+        word, ways, more, link, length, least = self.word, self.to, self.more, self.link, self.length, self.least
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
         state, n = 0, 0
@@ -122,11 +138,19 @@ class SuffixAutomaton:
             if t is None:
                 state = n = 0
                 continue
-            to = nxt[state].get(t)
-            while to is None and state:
+            while True:  # the longest run that ends with word t after the run of n words at `state`
+                if word[state] == t:
+                    to = ways[state]
+                    break
+                if state in more:
+                    to = more[state].get(t)
+                    if to is not None:
+                        break
+                if not state:
+                    to = None
+                    break
                 state = link[state]
                 n = length[state]
-                to = nxt[state].get(t)
             if to is None:
                 n = 0
                 continue
@@ -201,13 +225,14 @@ def cut(data: bytes, spans: Sequence[tuple[int, int]]) -> bytes:
 FOUND = "struct<n_words: long, n_hit: long, spans: array<struct<start: int, end: int>>, items: array<string>, clean_text: string>"
 
 
-def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, found: str = "found", block_words: int = BLOCK_WORDS, with_text: bool = True) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, found: str = "found", block_words: int = BLOCK_WORDS, with_text: bool = True, least_cut: int = WINDOW) -> DataFrame:
     """``df`` with a struct ``found``: n_words, n_hit, spans of hit words, ids of items with occurring windows (sorted as
-    strings) and the text without the spans (null if ``with_text`` is false or nothing was hit).
+    strings) and the text without the spans of ``least_cut`` words at least (null if ``with_text`` is false or there is none).
 
     Nulls and empty texts have no words; items without words have no windows; with no items nothing is hit.  An
-    item id that comes twice counts once.  Repeated rows give repeated rows.  The test items are bounded: each
-    automaton holds ``block_words`` words, and more blocks are scanned one after another over the same batch.
+    item id that comes twice counts once.  Repeated rows give repeated rows, an empty table none.  Texts are scanned whole, however
+    long.  A column called like ``found`` is replaced.  Each automaton holds ``block_words`` words of items; a worker holds
+    HELD of them, and where there are more they are loaded one after another, each once for TOGETHER_BYTES of text.
     """
     bound_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
@@ -215,28 +240,46 @@ def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", item
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.string())), ("clean_text", pa.string())])
 
-    @F.arrow_udf(FOUND)
-    def scan(texts: pa.Array) -> pa.Array:
-        batch = as_bytes(texts)
-        words = [words_of(data) for data in batch]
-        got: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in batch]
+    def look(batches: list[list[list[bytes]]]) -> list[list[tuple[list[tuple[int, int]], set[str]]]]:
+        """Spans and items of each text of some batches: each automaton is at hand once for all of them."""
+        got = [[([], set()) for _ in words] for words in batches]
         for b in shared:
             automaton = b.value
-            for (spans, ids), own in zip(got, words, strict=True):
-                hit, of = automaton.scan(own)
-                spans += hit
-                ids.update(automaton.names[k] for k in of)
-            if len(shared) > 1:  # one automaton in memory at a time
+            for words, results in zip(batches, got, strict=True):
+                for own, (spans, ids) in zip(words, results, strict=True):
+                    hit, of = automaton.scan(own)
+                    spans += hit
+                    ids.update(automaton.names[k] for k in of)
+            if len(shared) > HELD:
                 b.__dict__.pop("_value", None)
+        return got
+
+    def told(texts: list[bytes | None], words: list[list[bytes]], results: list) -> pa.Array:
         rows = []
-        for data, own, (hits, ids) in zip(batch, words, got, strict=True):
+        for data, own, (hits, ids) in zip(texts, words, results, strict=True):
             spans = unite(hits)
-            clean = cut(data, spans).decode("utf-8", "replace") if spans and with_text else None
+            long = [x for x in spans if x[1] - x[0] >= least_cut]
+            clean = cut(data, long).decode("utf-8", "replace") if long and with_text else None
             rows.append({"n_words": len(own), "n_hit": sum(e - s for s, e in spans), "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted(ids), "clean_text": clean})
-        del words, got
-        release()
         return pa.array(rows, kind)
 
+    @F.arrow_udf(FOUND)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held, size = [], 0
+        for texts in batches:
+            held.append(as_bytes(texts))
+            size += texts.nbytes
+            if len(shared) <= HELD or size >= TOGETHER_BYTES:
+                yield from finish(held)
+                held, size = [], 0
+                release()
+        yield from finish(held)
+
+    def finish(held: list[list[bytes | None]]) -> Iterator[pa.Array]:
+        words = [[words_of(data) for data in texts] for texts in held]
+        for texts, own, results in zip(held, words, look(words), strict=True):
+            yield told(texts, own, results)
+
     return df.withColumn(found, scan.asNondeterministic()(F.col(text)))  # a filter on it doesn't evaluate it twice
 
 
@@ -245,25 +288,15 @@ def contaminated(found: str, coverage: int = COVERAGE):
 
 
 def remove_contamination(df: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, coverage: int = COVERAGE, **options: object) -> DataFrame:
-    """``df`` without contaminated documents; hit spans of the others (at least a window long, below the coverage limit) are cut out of the text."""
+    """``df`` without contaminated documents; of the others, which are below the coverage limit, spans of at least a window are cut out of the text.
+
+    Shorter spans, of items of fewer words, count for the coverage and stay.  Null and empty texts stay as they are; repeated
+    rows are judged each; an empty table gives no rows; no other column is changed.
+    """
     mark = fresh(df, "found_")
-    found = find_contamination(df, items, text, window=window, found=mark, **options).filter(~contaminated(mark, coverage))
+    found = find_contamination(df, items, text, window=window, found=mark, least_cut=window, **options).filter(~contaminated(mark, coverage))
     return found.withColumn(text, F.coalesce(F.col(f"{mark}.clean_text"), F.col(text))).select(*df.columns)
 
 
-def naive(words: Sequence[bytes], items: Sequence[tuple[str, Sequence[bytes]]], window: int = WINDOW) -> tuple[set[int], set[str]]:
-    """The definition, by comparing every window at every place: hit word numbers and item ids, for tests."""
-    hit: set[int] = set()
-    ids: set[str] = set()
-    for name, own in items:
-        size = min(window, len(own))
-        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
-        for i in range(len(words) - size + 1 if size else 0):
-            if tuple(words[i : i + size]) in windows:
-                hit.update(range(i, i + size))
-                ids.add(name)
-    return hit, ids
-
-
 def ids_digest(ids: Sequence[str]) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
