@@ -1,9 +1,9 @@
 """SentencePiece encoding that keeps source offsets, and decoding.
 
 A text is normalised by longest-prefix matches in the model's compiled character map; each normalised
-character remembers the source bytes that it stands for.  The normalised text is cut where no piece can
-reach across, each distinct cut is segmented once, and every piece is projected to the source bytes of
-its characters.
+character remembers the source bytes that it stands for.  The normalised text is cut to chunks where no piece
+can reach across, so that memory doesn't grow with a text's length; chunks are segmented by the library's
+model, and every piece is projected to the source bytes of its characters.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from quarry.llm.common import as_bytes, bound_batches, release, pieces
+from quarry.llm.common import as_bytes, bound_batches, release
 
 SPACE = "▁"
-#: Cuts that a worker remembers before it forgets them all.
-MEMO_CUTS = 100_000
+#: Characters of a chunk at least, but for a text's last.
+CHUNK = 4096
 #: Kinds of pieces in a model file.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 BPE = 2
@@ -71,11 +71,9 @@ def char_length(data: bytes, at: int) -> int:
         return 0
 
 
-#: Of a cut: its ids and the numbers of characters its pieces stand for, as bytes of int32 each, and the ids as text.
-Cut = tuple[bytes, bytes, str]
 #: Ids, begins and ends of a text's pieces, and the ids as text, joined by commas.
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray, str]
-#: Bytes of text whose cuts are held together.
+#: Bytes of text whose chunks are segmented together.
 TOGETHER_BYTES = 1 << 20
 
 
@@ -101,15 +99,14 @@ class Codec:
         spec.Clear()
         spec.name, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", False, False, True
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        longer = [p for p in self.names if len(p) > 1]
-        alone = "".join(c for c in map(chr, range(32)) if not any(c in p for p in longer))
-        inside = any(SPACE in p.lstrip(SPACE) for p in longer)
-        own = re.escape(alone)
-        #: Where no piece reaches across: before a run of space marks, and around characters of no longer piece.
-        self.cuts = re.compile("(?s).+") if inside else re.compile(f"{SPACE}*[^{SPACE}{own}]+|{SPACE}+|[{own}]")
+        inside = any(SPACE in p.lstrip(SPACE) for p in self.names)
+        #: No piece reaches across to a run of space marks, so a chunk ends before one.
+        self.chunks = re.compile("(?s).+" if inside else f"(?s).{{{CHUNK}}}{SPACE}*[^{SPACE}]*|.+")
         self.sizes = [len(p) for p in self.names]
-        self.odd = {i for i, k in enumerate(self.kinds) if k in (UNKNOWN, BYTE)}
-        self.memo: dict[str, Cut] = {}
+        self.byte_of = np.array([int(n[3:5], 16) if k == BYTE else -1 for n, k in zip(self.names, self.kinds, strict=True)], np.int16)
+        self.size_of = np.where(self.byte_of < 0, np.array(self.sizes, np.int32), 0)
+        self.unknown = np.array([k == UNKNOWN for k in self.kinds])
+        self.digits = [str(i) for i in range(len(self.names))]
 
     def normalise(self, data: bytes) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its characters the source byte at which it begins; one more for the end."""
@@ -152,19 +149,24 @@ class Codec:
         n = char_length(data, i)
         return (data[i : i + n].decode(), n) if n else ("�", 1)
 
-    def segment(self, texts: Sequence[list[str]]) -> None:
-        """See to it that ``memo`` has all cuts of some texts.
+    def segment(self, texts: Sequence[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Of each normalised text the ids, and the number of characters that each piece stands for.
 
         Bytes of a character without a piece: the last stands for the character, those before for nothing.
         """
-        memo, odd, size = self.memo, self.odd, self.sizes
-        if len(memo) > MEMO_CUTS:
-            memo.clear()
-        new = list({c for cuts in texts for c in cuts if c not in memo})
-        for part in pieces(new, 4096):
-            for cut, ids in zip(part, self.segmenter.encode(part, num_threads=1), strict=True):
-                sizes = [size[i] for i in ids] if odd.isdisjoint(ids) else self._sizes(cut, ids)
-                memo[cut] = struct.pack(f"{len(ids)}i", *ids), struct.pack(f"{len(ids)}i", *sizes), ",".join(map(str, ids))
+        chunks = [[t] if len(t) <= CHUNK else self.chunks.findall(t) for t in texts]
+        got = iter(self.segmenter.encode([c for own in chunks for c in own], num_threads=1))
+        for own in chunks:
+            parts = [next(got) for _ in own]
+            ids = parts[0] if len(parts) == 1 else [i for p in parts for i in p]
+            at = np.array(ids, np.int32)
+            if self.unknown[at].any():
+                yield ids, np.array([n for c, p in zip(own, parts, strict=True) for n in self._sizes(c, p)], np.int32)
+                continue
+            byte = self.byte_of[at]
+            last = byte >= 0
+            last[:-1] &= (byte[1:] < 0x80) | (byte[1:] > 0xBF)
+            yield ids, self.size_of[at] + last
 
     def _sizes(self, cut: str, ids: Sequence[int]) -> tuple[int, ...]:
         kinds, names = self.kinds, self.names
@@ -203,44 +205,41 @@ class Codec:
         return next(self.encode_all([data]))
 
     def encode_all(self, texts: Sequence[bytes | None]) -> Iterator[Encoded]:
-        """The pieces of each text.  Texts are taken some at a time, so that new cuts are segmented together."""
-        held: list[tuple[list[str], np.ndarray | None, bool]] = []
+        """The pieces of each text.  Texts are taken some at a time, so that the library is called for many chunks."""
+        held: list[tuple[str, np.ndarray | None, bool]] = []
         size = 0
         for data in texts:
-            held.append(self._cut(data))
+            held.append(self._normalised(data))
             size += len(data or b"")
             if size >= TOGETHER_BYTES:
                 yield from self._encoded(held)
                 held, size = [], 0
         yield from self._encoded(held)
 
-    def _cut(self, data: bytes | None) -> tuple[list[str], np.ndarray | None, bool]:
-        """A text's cuts, where its normalised characters begin (none: each at its own number), and whether a dummy prefix goes before them."""
+    def _normalised(self, data: bytes | None) -> tuple[str, np.ndarray | None, bool]:
+        """A normalised text, where its characters begin (none: each at its own number), and whether a dummy prefix goes before them."""
         if not data:
-            return [], None, False
+            return "", None, False
         if self.plain and SPACE.encode() not in data and (text := plain_text(data)) is not None:
             # Each character begins where its bytes do; the dummy prefix stands before the first and takes none.
             at = None if len(text) == len(data) else char_offsets(data)
-            return self.cuts.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE)), at, self.dummy
+            return (SPACE if self.dummy else "") + text.replace(" ", SPACE), at, self.dummy
         text, at = self.normalise(data)
-        return self.cuts.findall(text), at, False
+        return text, at, False
 
-    def _encoded(self, held: Sequence[tuple[list[str], np.ndarray | None, bool]]) -> Iterator[Encoded]:
-        self.segment([h[0] for h in held])
-        memo = self.memo
-        for cuts, at, shift in held:
-            if not cuts:
+    def _encoded(self, held: Sequence[tuple[str, np.ndarray | None, bool]]) -> Iterator[Encoded]:
+        digits = self.digits
+        for (_, at, shift), (ids, sizes) in zip(held, self.segment([h[0] for h in held]), strict=True):
+            if not ids:
                 none = np.zeros(0, np.int64)
                 yield none, none, none, ""
                 continue
-            got = [memo[c] for c in cuts]
-            ids = np.frombuffer(b"".join([c[0] for c in got]), np.int32)
-            ends = np.cumsum(np.frombuffer(b"".join([c[1] for c in got]), np.int32))
+            ends = np.cumsum(sizes)
             if shift:
                 ends = np.maximum(ends - 1, 0)
             if at is not None:
                 ends = at[ends]
-            yield ids, np.concatenate([[0 if at is None else int(at[0])], ends[:-1]]), ends, ",".join([c[2] for c in got])
+            yield np.array(ids, np.int32), np.concatenate([[0 if at is None else int(at[0])], ends[:-1]]), ends, ",".join([digits[i] for i in ids])
 
     def decode(self, ids: Sequence[int]) -> str:
         return self.decoder.decode(ids.tolist() if isinstance(ids, np.ndarray) else list(ids)) if len(ids) else ""
@@ -280,8 +279,8 @@ def lists(parts: Sequence[np.ndarray]) -> pa.ListArray:
 def encode_column(df: DataFrame, model_file: str, text: str = "text", to: str = "pieces", decode: bool = True) -> DataFrame:
     """``df`` with a struct: n_tokens, ids, begins and ends (source bytes of each piece), and the decoded text (null unless ``decode``).
 
-    A null text is encoded like an empty one: no pieces, decoded ''.  Repeated rows give repeated rows, an
-    empty table none.  ``model_file`` has to be readable under the same path on every executor.
+    A null text is encoded like an empty one: no pieces, decoded ''.  Texts are encoded whole.  Repeated rows give repeated rows,
+    an empty table none; a column called like ``to`` is replaced.  ``model_file`` has to be readable under the same path on every executor.
     """
 
     bound_batches(df.sparkSession)
@@ -298,7 +297,11 @@ def encode_column(df: DataFrame, model_file: str, text: str = "text", to: str =
 
 
 def encoded_documents(df: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, the ids, the source bytes at which pieces end, and digests of ids and decoded text."""
+    """Per row: id, n_tokens, the ids, the source bytes at which pieces end, and digests of ids and decoded text.
+
+    A null text is encoded like an empty one: no pieces.  Texts are encoded whole, however long.  Repeated rows and ids give a
+    row each, an empty table none; other columns are ignored, whatever they are called.
+    """
     from hashlib import sha256
 
     kind = "struct<n_tokens: long, ids: array<int>, ends: array<int>, ids_sha256: string, decoded_sha256: string>"
@@ -322,7 +325,8 @@ def encoded_documents(df: DataFrame, model_file: str, id_col: str = "doc_id", te
 def encoding_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_tokens, digests of the ids and of the decoded text, and the source bytes that the pieces span.
 
-    The digests are taken where the pieces are made, so that no arrays leave the Python worker.
+    The digests are taken where the pieces are made, so that no arrays leave the Python worker.  A null text is encoded like
+    an empty one; texts are encoded whole; repeated rows give a row each, an empty table none; other columns are ignored.
     """
     from hashlib import sha256
 
