@@ -1,6 +1,6 @@
 """A deterministic, sharded WARC writer, and a reader.
 
-Records are sorted by page id and cut to shards at fixed ids; a task writes a shard's files under temporary
+Records are sorted by page id and cut to shards at ids that the sizes of payloads alone decide; a task writes a shard's files under temporary
 names, rolls to the next file by compressed size, and reports what it wrote.  Only reports of tasks that
 Spark accepted reach the manifest; its files get their final names, and readers go by the manifest alone, so lost
 or repeated tasks leave nothing that is read.  The same pages give the same bytes in the same files.
@@ -14,12 +14,13 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bound_batches
@@ -29,8 +30,8 @@ from quarry.sources.tables import materialise
 ROLL_BYTES = 256 << 20
 #: A shard has a two-thousandth of all payload bytes, within these bounds.
 SHARDS, SHARD_BYTES = 2000, (8 << 20, 1 << 30)
-#: Equal steps of the id range between which shards may be cut.
-STEPS = 1 << 14
+#: Equal steps of the id range between which shards may be cut; a step of more bytes than a shard is cut to finer ones.
+STEPS, FINER = 1 << 14, 8
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 0
 LEVEL = 6
@@ -55,7 +56,7 @@ def record(kind: str, uri: str, name: str, block: bytes, headers: list[tuple[str
     return z.compress(text.encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None, nth: int, revisit: bool) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, first: int | None, nth: int | str, revisit: bool) -> bytes:
     uri = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:quarry:page:{page_id}"
     digest = base32_sha1(payload)
     name = f"{page_id}:{digest}:{nth}"
@@ -109,23 +110,56 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 FILE_SCHEMA = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("temporary", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
 
-def cut_shards(narrow: DataFrame) -> tuple[DataFrame, int]:
-    """(step, shard) for the steps of the id range, and the number of shards.  The driver gets at most STEPS sums."""
-    low, high, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    spark = narrow.sparkSession
-    if low is None:
-        return spark.createDataFrame([(0, 0)], "step long, shard int"), 1
-    width = (high - low) // STEPS + 1
+def step_of(page_id: Column, low: int, width: int) -> Column:
+    """The begin of an id's step; ids may lie further apart than a long reaches."""
+    at = page_id.cast("decimal(20,0)")
+    return F.call_function("div", at - F.lit(low).cast("decimal(20,0)"), F.lit(width).cast("decimal(20,0)"))
+
+
+def cut_shards(narrow: DataFrame) -> tuple[list[tuple[int, int, list[int]]], tuple[int, int], int, int]:
+    """How ids are dealt to shards: (step, shard of its begin, ids at which the next shards begin) by step, the steps' begin and
+    width, the number of shards, and how many more the rows without an id take.
+
+    Bytes are summed by steps of equal width; a step of more bytes than a shard is cut again, until it has one id or few
+    enough bytes, so that ids may lie as unevenly as they like.  The driver gets at most STEPS sums, and FINER for each shard.
+    """
+    low, high, total, lost = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes"), F.sum(F.when(F.col("page_id").isNull(), F.col("payload_bytes") + 1))).first()
     most = min(max((total or 0) // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1])
-    step = F.coalesce(F.call_function("div", F.col("page_id") - low, F.lit(width)), F.lit(0)).alias("step")
-    sums = sorted(narrow.groupBy(step).agg(F.sum("payload_bytes")).collect())
-    rows, shard, held = [], 0, 0
-    for s, n in sums:
+    extra = -(-(lost or 0) // most)
+    if low is None:
+        return [], (0, 1), 0, extra
+    top = (high - low) // STEPS + 1
+    known = narrow.filter("page_id is not null").withColumn("cell", step_of(F.col("page_id"), low, top))
+    cells = {low + c * top: (top, n) for c, n in known.groupBy("cell").agg(F.sum("payload_bytes")).collect()}
+    known = known.withColumn("begin", (F.col("cell").cast("decimal(20,0)") * top + low).cast("decimal(20,0)")).select("page_id", "payload_bytes", "begin")
+    heavy = {b: wn for b, wn in cells.items() if wn[1] > most and wn[0] > 1}
+    while heavy:
+        finer = []
+        for begin, (width, n) in heavy.items():
+            finer.append((begin, max(1, -(-width // min(STEPS, FINER * (n // most + 1))))))
+            del cells[begin]
+        widths = dict(finer)
+        own = narrow.sparkSession.createDataFrame([(Decimal(b), Decimal(w)) for b, w in finer], "begin decimal(20,0), width decimal(20,0)")
+        met = known.join(F.broadcast(own), "begin")  # no more rows than shards
+        known = met.withColumn("to", (F.col("begin") + F.call_function("div", F.col("page_id").cast("decimal(20,0)") - F.col("begin"), F.col("width")).cast("decimal(20,0)") * F.col("width")).cast("decimal(20,0)")).select("page_id", "payload_bytes", F.col("begin").alias("from"), F.col("to").alias("begin"))
+        heavy = {}
+        for start, begin, n in known.groupBy("from", "begin").agg(F.sum("payload_bytes")).collect():
+            cells[int(begin)] = (widths[int(start)], n)
+            if n > most and widths[int(start)] > 1:
+                heavy[int(begin)] = cells[int(begin)]
+        known = known.select("page_id", "payload_bytes", "begin")
+    shard, held, begins = 0, 0, {}
+    for begin in sorted(cells):
+        n = cells[begin][1]
         if held and held + n > most:
             shard, held = shard + 1, 0
-        rows.append((s, shard))
+            begins.setdefault((begin - low) // top, []).append(begin)
         held += n
-    return spark.createDataFrame(rows, "step long, shard int").withColumn("low", F.lit(low)).withColumn("width", F.lit(width)), shard + 1
+    rows, at = [], 0
+    for step in sorted({(b - low) // top for b in cells}):
+        rows.append((step, at, begins.get(step, [])))
+        at += len(begins.get(step, []))
+    return rows, (low, top), shard + 1, extra
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT_BYTES, roll: int = ROLL_BYTES) -> DataFrame:
@@ -133,7 +167,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
 
     Of equal payloads of at least ``min_revisit`` bytes, that of the smallest id is a response record, the others revisit it; among repeated
     rows of that id one is the response.  A null html is an empty payload; a null id has no page-id header, and is
-    never revisited; a null url becomes a urn.  An empty table gives an empty manifest.  Other columns are ignored.
+    never revisited; rows without an id are dealt by digest and url.  A null url becomes a urn.  An empty table gives an empty
+    manifest.  Other columns are ignored, whatever they are called.  Payloads are written whole, however long; rows of one
+    id are written by one task.
     """
     spark = pages.sparkSession
     bound_batches(pages.sparkSession)
@@ -144,18 +180,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
     # Written, so that both sides of the join are plain exchanges and a payload of many pages can be split.
     first = materialise(copies.filter("n > 1").select("digest", "first_id"), "firsts")
     roles = narrow.filter((F.col("payload_bytes") >= min_revisit) & F.col("page_id").isNotNull()).join(first, "digest").select("page_id", "digest", "first_id").distinct()
-    steps, n_shards = cut_shards(narrow)
+    steps, (low, width), n_shards, extra = cut_shards(narrow)
     both = rows.select("page_id", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("first_id"), F.lit(1).alias("kind"), "url", "payload").unionByName(
         roles.select("page_id", "digest", "first_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     )
-    if "low" in steps.columns:
-        low, width = steps.select("low", "width").first()
-        shard_of = F.broadcast(steps.select("step", "shard"))  # at most STEPS rows
-        step = F.coalesce(F.call_function("div", F.col("page_id") - low, F.lit(width)), F.lit(0))
-        both = both.withColumn("step", step).join(shard_of, "step", "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
-    else:
-        both = both.withColumn("shard", F.lit(0))
-    dealt = both.select("shard", "page_id", "digest", "kind", "first_id", "url", "payload").repartitionById(n_shards, F.col("shard"))
+    cuts = F.broadcast(spark.createDataFrame(steps, "step long, base int, cuts array<long>"))  # at most STEPS rows, and an id for each shard
+    placed = both.withColumn("step", step_of(F.col("page_id"), low, width)).join(cuts, "step", "left")
+    by_id = F.col("base") + F.size(F.filter("cuts", lambda c: c <= F.col("page_id")))
+    by_content = n_shards + F.pmod(F.xxhash64("digest", "url"), F.lit(max(1, extra)))
+    dealt = placed.withColumn("shard", F.when(F.col("page_id").isNull(), by_content).otherwise(by_id).cast("int")).select("shard", "page_id", "digest", "kind", "first_id", "url", "payload").repartitionById(max(1, n_shards + extra), F.col("shard"))
     ordered = dealt.sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url:
                     first = known
                     continue
                 revisit = first is not None and (first != page_id or nth > 0)
-                files.add(page_record(page_id, link, data, first, nth, revisit), page_id)
+                files.add(page_record(page_id, link, data, first, nth if page_id is not None else f"{shard}-{nth}", revisit), page_id)
                 nth += 1
         if files is not None:
             files.close()
