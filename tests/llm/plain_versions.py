@@ -5,6 +5,7 @@ import re
 from datetime import date, timedelta
 from itertools import combinations
 
+from quarry.llm.decontamination import WINDOW
 from quarry.llm.pii import DAYS, FIRST_DAY, ROUNDS
 from quarry.llm.simhash import DISTANCE
 
@@ -90,3 +91,17 @@ def naive_components(fps: list[int], ids: list[int], distance: int = DISTANCE) -
     for i in range(len(fps)):
         least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
     return [least[find(i)] for i in range(len(fps))]
+
+
+def naive_hits(words: list[bytes], items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> tuple[set[int], set[str]]:
+    """The definition, by comparing every window at every place: hit word numbers and item ids."""
+    hit: set[int] = set()
+    ids: set[str] = set()
+    for name, own in items:
+        size = min(window, len(own))
+        windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
+        for i in range(len(words) - size + 1 if size else 0):
+            if tuple(words[i : i + size]) in windows:
+                hit.update(range(i, i + size))
+                ids.add(name)
+    return hit, ids

@@ -1,6 +1,7 @@
 """Each query against a plain version of its definition on whole small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -36,7 +37,7 @@ def test_op2(spark, tiny, docs):
     assert got.keys() == docs.keys()
     for i, d in docs.items():
         words = word.findall(lower(d.text))
-        hit, ids = dc.naive(words, items)
+        hit, ids = plain_versions.naive_hits(words, items)
         want = (i, len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words))
         assert tuple(got[i]) == want
     assert any(r.contaminated for r in got.values())
@@ -89,9 +90,11 @@ def test_simhash_links_of_clusters(spark, bucket):
 
 def test_op4(spark, tiny, docs):
     got = rows(spark, "op4_quality_rules", tiny)
-    model = quality.fit(table(spark, tiny, "documents"), table(spark, tiny, "labels"))
-    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    n, mix, whole = 1 << 15, 0x9E3779B97F4A7C15, 1 << 64
+    raw, good, grams = Counter(), Counter(), {}
     trusted = {r.doc_id for r in table(spark, tiny, "labels").collect() if r.quality == 1 and not r.toxic}
+    assert 0 < len(trusted) < quality.TRUSTED
+    failed = {}
     for i, d in docs.items():
         words = re.findall(r"[^\x20\x09-\x0D]+", d.text)
         windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
@@ -102,17 +105,22 @@ def test_op4(spark, tiny, docs):
             if re.search(r"[^\x20\x09-\x0D]", line):
                 dup += line in seen
                 seen.add(line)
-        failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
-        assert tuple(got[i])[1:7] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", d.text)), dup, len(hit), failed)
-        ids, at = quality.local_ids([w.encode() for w in words])
-        where = quality.buckets_of(ids, at, quality.BUCKETS)
-        assert len(where) == max(0, 2 * len(words) - 1)
-        np.add.at(raw, where, 1)
+        failed[i] = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+        assert tuple(got[i])[1:7] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", d.text)), dup, len(hit), failed[i])
+        h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+        grams[i] = [x * mix % whole >> 40 for x in h + [(a * mix + b) * mix % whole for a, b in zip(h, h[1:], strict=False)]]
+        grams[i] = [g % n for g in grams[i]]
+        raw.update(grams[i])
         if i in trusted:
-            np.add.at(good, where, 1)
-        assert got[i].kept == (not failed and model.score(ids, at) >= model.threshold)
-    ratio = np.log((good + 1) / (good.sum() + len(good)) / ((raw + 1) / (raw.sum() + len(raw))))
-    assert np.allclose(ratio, model.ratio)
+            good.update(grams[i])
+    raws, goods = sum(raw.values()), sum(good.values())
+    score = {i: sum(math.log((good[g] + 1) / (goods + n)) - math.log((raw[g] + 1) / (raws + n)) for g in grams[i]) / max(1, len(grams[i])) for i in docs}
+    ranked = sorted(score[i] for i in trusted if i in docs and not failed[i])
+    least = ranked[int(0.001 * len(ranked))] - 0.05
+    for i in docs:
+        assert abs(got[i].score - score[i]) < 1e-9
+        assert got[i].kept == (not failed[i] and score[i] >= least)
+    assert len({got[i].kept for i in docs if not failed[i]}) == 2
 
 
 def test_quality_keeps_held_out_good_documents(spark):
@@ -215,6 +223,43 @@ def test_offsets_are_those_of_the_library():
         assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == [(p.begin, p.end) for p in want]
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("trim", [True, False])
+def test_offsets_under_the_library_s_character_maps(tmp_path, rule, trim):
+    """The model at hand has an empty map, so its vocabulary is put behind the maps that the library has built in."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, built_in = pb.ModelProto(), pb.ModelProto()
+    with open(model_file(), "rb") as f:
+        model.ParseFromString(f.read())
+    built_in.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    spec = model.normalizer_spec
+    spec.name, spec.precompiled_charsmap, spec.remove_extra_whitespaces = rule, built_in.normalizer_spec.precompiled_charsmap, trim
+    assert len(spec.precompiled_charsmap) > 100_000
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    codec = sentencepiece_codec.Codec(str(tmp_path / "m.model"))
+    rng = random.Random(6)
+    signs = ["a", "the", "Straße", " ", "  ", "\n", "\t", "▁", "é", "e\u0301", "ﬁ", "①", "½", "ａ", "日本", "㍿", "😀", "\u200b", "\u00a0", "\u3000", ".", "0", "가", "\u1100\u1161", "\u0085"]
+    for _ in range(1500):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        ids, begins, ends, _ = codec.encode(text.encode())
+        want = codec.decoder.encode(text, return_type="proto").pieces
+        assert ids.tolist() == codec.decoder.encode(text)
+        assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == [(p.begin, p.end) for p in want]
+
+
+def test_long_texts_are_segmented_by_chunks_alike():
+    codec = sentencepiece_codec.Codec(model_file())
+    rng = random.Random(7)
+    words = ["the", "erenst", "日本", "é", "\n", " ", "  ", "0", "▁", "naïve" * 30]
+    for n in (3_000, 9_000, 40_000):
+        text = " ".join(rng.choice(words) for _ in range(n)) + "x" * n
+        ids, begins, ends, joined = codec.encode(text.encode())
+        assert ids.tolist() == codec.decoder.encode(text) == list(map(int, joined.split(",")))
+        assert ends[-1] == len(text.encode()) and (begins[1:] == ends[:-1]).all()
+
+
 def test_character_map_and_white_space_rules():
     """A small compiled map, by hand: 'ab' to 'x', 'a' to ''."""
     codec = sentencepiece_codec.Codec(model_file())
@@ -252,6 +297,22 @@ def test_op8(spark, tiny):
         assert tuple(got[i])[:5] == (i, len(p.html.encode()), warc.base32_sha1(p.html.encode()), "response" if f == i else "revisit", None if f == i else f)
 
 
+def test_shards_are_cut_evenly_however_ids_lie(spark):
+    ids = [*range(1000), *(10**6 + 3 * i for i in range(1000)), 9 * 10**18, -(9 * 10**18), *[None] * 500]
+    narrow = spark.createDataFrame([(i, 100_000) for i in ids], "page_id long, payload_bytes long")
+    steps, (low, width), n, extra = warc.cut_shards(narrow)
+    most = warc.SHARD_BYTES[0]
+    held = Counter()
+    for i in ids:
+        if i is not None:
+            base, cuts = next((b, c) for s, b, c in steps if s == (i - low) // width)
+            held[base + sum(c <= i for c in cuts)] += 100_000
+    assert set(held) == set(range(n)) and max(held.values()) <= most and n <= 2 * 2002 * 100_000 // most + 2
+    assert extra == -(-500 * 100_001 // most)
+    order = [next(b + sum(x <= i for x in c) for s, b, c in steps if s == (i - low) // width) for i in sorted(x for x in ids if x is not None)]
+    assert order == sorted(order)
+
+
 def test_archives_round_trip_with_odd_rows(spark, tmp_path):
     rows_ = [(3, "http://a/ b\n", "x" * 5000), (1, None, "same"), (2, "u", "same"), (2, "u", "same"), (5, "u", None), (6, "u", ""), (None, "u", "same"), (9, "u", "é" * 3000), (1, "again", "same")]
     df = spark.createDataFrame(rows_, "page_id long, url string, html string")
@@ -294,6 +355,13 @@ def test_a_rule_that_can_pause_is_refused():
         secret_scan.Positions.of("ab(cd)?")
 
 
+def hilbert_path(d, bits):
+    """The place of every cell on the curve (that it goes by single steps is tested by itself)."""
+    n = 2**bits
+    cells = np.array(np.unravel_index(np.arange(n**d), (n,) * d)).T
+    return {tuple(c): k for c, k in zip(cells.tolist(), sharding.hilbert_index(cells, bits).tolist(), strict=True)}
+
+
 def test_op10(spark, tiny, docs):
     got = rows(spark, "op10_hilbert_shards", tiny)
     assert got.keys() == docs.keys()
@@ -303,6 +371,18 @@ def test_op10(spark, tiny, docs):
     assert sorted(by) == list(range(16)) and max(by.values()) - min(by.values()) <= 1
     for s in by:
         assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(by[s]))
+    # The order: cells are cut here by exact quantiles of ranks, and the curve is looked up cell by cell.
+    columns = []
+    for values in ([d.source for d in docs.values()], [d.lang for d in docs.values()], [len(d.text.encode()) + 1 for d in docs.values()]):
+        rank = {v: k for k, v in enumerate(sorted(set(values)))}
+        keys = [rank[v] if isinstance(v, str) else v for v in values]
+        s = sorted(keys)
+        edges = sorted({s[max(0, math.ceil(q / 64 * len(s)) - 1)] for q in range(1, 64)})
+        columns.append([sum(e <= k for e in edges) for k in keys])
+    path = hilbert_path(3, 6)
+    place = {i: path[c] for i, c in zip(docs, zip(*columns, strict=True), strict=True)}
+    want = sorted(docs, key=lambda i: (place[i], i))
+    assert sorted(docs, key=lambda i: (got[i].shard, got[i].slot)) == want
 
 
 def test_values_that_begin_alike_are_kept_apart(spark):
@@ -328,7 +408,27 @@ def test_suffix_automaton_on_random_items():
         automaton = dc.SuffixAutomaton(items, rng.randint(1, 5))
         doc = [rng.choice([*letters, b"x"]) for _ in range(rng.randint(0, 25))]
         spans, ids = automaton.scan(doc)
-        assert ({w for s, e in spans for w in range(s, e)}, {automaton.names[k] for k in ids}) == dc.naive(doc, items, automaton.window)
+        assert ({w for s, e in spans for w in range(s, e)}, {automaton.names[k] for k in ids}) == plain_versions.naive_hits(doc, items, automaton.window)
+
+
+def test_short_items_count_but_are_not_cut(spark):
+    docs = spark.createDataFrame([(1, "the " + "w x y z " * 30), (2, "a b c d e f g h i j k l m " + "w x y z " * 90)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "a b c d e f g h i j k l m")], "item_id long, text string")
+    found = {r.doc_id: r.found for r in dc.find_contamination(docs, items).collect()}
+    assert found[1].n_hit == 1 and found[1].clean_text is None and found[2].n_hit == 13
+    cut = {r.doc_id: r.text for r in dc.remove_contamination(docs, items).collect()}
+    assert cut[1].startswith("the w x") and cut[2].strip().startswith("w x y z")
+
+
+def test_more_automata_than_a_worker_holds(spark, tiny):
+    docs, items = table(spark, tiny, "documents").select("doc_id", "text"), table(spark, tiny, "benchmark")
+    whole = sorted(map(str, dc.find_contamination(docs, items).collect()))
+    old = dc.HELD, dc.TOGETHER_BYTES
+    try:
+        dc.HELD, dc.TOGETHER_BYTES = 2, 100_000
+        assert whole == sorted(map(str, dc.find_contamination(docs, items, block_words=60).collect()))
+    finally:
+        dc.HELD, dc.TOGETHER_BYTES = old
 
 
 def test_items_in_blocks_give_the_same(spark, tiny):

@@ -1,10 +1,11 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, line_dedup, pii, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
-from quarry.llm.queries import model_file
+from quarry.llm.queries import QUERIES, model_file
 
 LONG = "Le mot est long. " * 30_000
 ROWS = [(1, "a line\nsame\nsame", "s", "x"), (2, None, "s", "x"), (3, "", None, "x"), (4, LONG, "s", None), (5, "twice", "t", "x"), (5, "twice", "t", "x"), (None, "no id é", "s", "x"), (7, " \n\t ", "s", "x")]
@@ -13,7 +14,7 @@ SCHEMA = "doc_id long, text string, source string, lang string"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    extra = ["fp", "component_id", "n_words", "kept", "quality_", "found_", "shard", "clean_text", "n_lines", "hilbert", "keys_", "pieces"]
+    extra = ["fp", "component_id", "n_words", "kept", "quality_", "found_", "shard", "clean_text", "n_lines", "hilbert", "keys_", "pieces", "root_", "node_", "root", "node", "row_", "gone_", "clean_text_", "kept_", "n_lines_", "found", "d", "made_"]
     df = spark.createDataFrame(ROWS, SCHEMA)
     for name in extra:
         df = df.withColumn(name, F.lit("clash"))
@@ -42,12 +43,14 @@ def operators(labels, items):
         "tokens": lambda d: token_counts.count_tokens(d, model_file()),
         "pii": lambda d: pii.pseudonymise(d, "k"),
         "pieces": lambda d: sentencepiece_codec.encode_column(d, model_file()),
+        "encoded": lambda d: sentencepiece_codec.encoded_documents(d, model_file()),
+        "digests": lambda d: sentencepiece_codec.encoding_digests(d, model_file()),
         "secrets": lambda d: secret_scan.scan_frame(d),
         "shards": lambda d: sharding.hilbert_shards(d.select("doc_id", "source", "lang", "shard"), ["source", "lang"], ties=["doc_id"]),
     }
 
 
-@pytest.mark.parametrize("name", ["lines", "decontaminate", "cut", "simhash", "keep_one", "quality", "keep_good", "tokens", "pii", "pieces", "secrets", "shards"])
+@pytest.mark.parametrize("name", ["lines", "decontaminate", "cut", "simhash", "keep_one", "quality", "keep_good", "tokens", "pii", "pieces", "encoded", "digests", "secrets", "shards"])
 def test_odd_rows_and_empty_tables(docs, labels, items, name):
     op = operators(labels, items)[name]
     full, none = op(docs).collect(), op(docs.limit(0))
@@ -85,3 +88,40 @@ def test_host_lines(spark):
     got = {r.doc_id: r for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0].clean_text == "own 0\n" and (got[0].n_lines, got[0].n_dropped) == (4, 2)
     assert got[10].clean_text == "menu\nother 0"  # four pages are too few
+
+
+@pytest.fixture(scope="module")
+def folders(docs, labels, items, spark, tmp_path_factory):
+    """Tables like the driver's with odd rows and clashing columns, and the same without rows."""
+    pages = spark.createDataFrame([(1, "http://a", "x"), (2, None, None), (2, None, None), (None, "http://b", "x"), (4, "", LONG), (-9 * 10**18, "u", "x"), (9 * 10**18, "u", "")], "page_id long, url string, html string")
+    for name in ("shard", "digest", "payload", "step", "kind", "cuts"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    out = []
+    for kind in ("odd", "empty"):
+        top = tmp_path_factory.mktemp(kind)
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", items), ("pages", pages)):
+            (df if kind == "odd" else df.limit(0)).coalesce(1).write.parquet(f"file://{top}/{name}.parquet")
+        out.append(f"file://{top}")
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_registered_queries_on_odd_and_empty_tables(spark, folders, name):
+    odd, none = (QUERIES[name](spark, f) for f in folders)
+    assert odd.count() == (7 if name == "op8_warc" else len(ROWS))
+    assert none.collect() == [] and none.columns == odd.columns
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_and_empty_tables(spark, folders, docs, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, spark.read.parquet(f"{folders[0]}/documents.parquet"), folders[0])
+    rows = got.collect()
+    least, most = {"quality_rules": (0, 1), "simhash_near_dedup": (4, 5), "benchmark_decontamination": (len(ROWS) - 1,) * 2}.get(name, (len(ROWS),) * 2)
+    assert least <= len(rows) <= most
+    none = stage(spark, spark.read.parquet(f"{folders[1]}/documents.parquet"), folders[1])
+    assert none.collect() == []
+    if k < 4:
+        assert got.columns == none.columns == docs.columns
+        extra = [c for c in docs.columns if c not in ("doc_id", "text", "source", "lang")]
+        assert all(r[c] == "clash" for r in rows for c in extra)
