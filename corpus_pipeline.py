@@ -18,16 +18,26 @@ from quarry.llm.queries import model_file, table
 from quarry.sources.tables import scratch
 
 
+#: Bytes of a stage's input for each file that it writes, where that makes more files than two for each core.
+FILE_BYTES = 128 << 20
+
+
+def few_files(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """``out`` in no more partitions than two for each core, or one for each FILE_BYTES of what a stage reads: a file is written for each."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+
+
 def counted(out: DataFrame, docs: DataFrame) -> DataFrame:
     """``out`` with the columns of ``docs``, ``n_chars`` (where there is one) being that of the new text; null for a null text."""
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return few_files(out.select(*docs.columns), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go, and so do null, empty and short texts.  Repeated rows are judged each; a null id is one without a label."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return few_files(quality.keep_good(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +52,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays; of rows with that id one.  Null, empty and word-less texts are one group."""
-    return simhash.keep_one(docs)
+    return few_files(simhash.keep_one(docs), docs)
 
 
 def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +62,7 @@ def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with the source bytes at which they end, and digests of ids and decoded text; a null text is encoded like an empty one."""
-    return sentencepiece_codec.encoded_documents(docs, model_file())
+    return few_files(sentencepiece_codec.encoded_documents(docs, model_file()), docs)
 
 
 STAGES = [
