@@ -24,7 +24,7 @@ FILE_BYTES = 128 << 20
 
 def few_files(out: DataFrame, docs: DataFrame) -> DataFrame:
     """``out`` in no more partitions than two for each core, or one for each FILE_BYTES of what a stage reads: a file is written for each."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return out.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
 
 
