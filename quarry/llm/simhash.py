@@ -8,6 +8,7 @@ of their blocks.  Inside a bucket the Hamming distance is verified, and links ar
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -128,15 +129,16 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def links_of(distinct: DataFrame, fp: str, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def links_of(distinct: DataFrame, fp: str, distance: int = DISTANCE, blocks: int = BLOCKS, n: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose closure is that of all pairs within ``distance``.
 
     Every fingerprint goes to C(blocks, distance) buckets; buckets are counted by partial sums, and those of one are left out.
     Buckets of more than BUCKET are refined, so that no group of a size that grows with the data meets in a task, and no
-    pair is left out.  A group gives fewer links than it has rows.
+    pair is left out.  A group gives fewer links than it has rows.  ``n``: the number of fingerprints, if it is known.
     """
+    choices = comb(blocks, distance)
     keyed = bucketed(distinct.select(F.col(fp).alias("f")), blocks, distance)
-    sizes = materialise(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("k").alias("k_"), "n"), "buckets")
+    sizes = materialise(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("k").alias("k_"), "n"), "buckets", n and n * choices // 2)
     few = sizes.count() <= BROADCAST_ROWS
     met = keyed.join(F.broadcast(sizes) if few else sizes, F.col("k") == F.col("k_")).select("k", "c", "f", "n")
     small = met.filter(F.col("n") <= BUCKET).select("k", "f")
@@ -170,14 +172,14 @@ def link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
 
-def components(links: DataFrame, label: str = "links", rounds: int = 100) -> DataFrame:
+def components(links: DataFrame, label: str = "links", rounds: int = 100, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): the root is the smallest node of its component.
 
     Large-star and small-star in turn (MapReduce connected components, 2014): each is a minimum per node, made by partial
     sums, and an equi-join, which adaptive execution can split at a hub.  Each round is a written table; rounds end when the
-    links are stars.  ``rounds`` only stops a run that doesn't converge, with an error.
+    links are stars.  ``rounds`` only stops a run that doesn't converge, with an error.  ``rows``: about how many links there are at most.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), label)
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), label, rows)
     most = 2 * edges.count()  # rows that any step has at most; from the files' footers
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -202,7 +204,7 @@ def components(links: DataFrame, label: str = "links", rounds: int = 100) -> Dat
 
 def placed_nodes(nodes: DataFrame, n: int, distance: int, blocks: int) -> DataFrame:
     """``nodes`` (at most ``n`` rows; node: distinct fingerprints) with the ``root`` of their component, written."""
-    found = components(links_of(nodes, "node", distance, blocks))
+    found = components(links_of(nodes, "node", distance, blocks, n), rows=n * comb(blocks, distance))
     return materialise(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed", n)
 
 
