@@ -7,6 +7,7 @@ quotes for each evidence relation (array of string).  Columns that are absent co
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -116,5 +117,15 @@ def judged_pairs(df: DataFrame, queries: Sequence[Mapping[str, object]], key: st
     return df.select(F.col(key), F.explode(hits).alias("m")).select("m.query_id", key, "m.is_gold", "m.is_trap")
 
 
+def load_queries(text: str) -> list[dict]:
+    """Queries of a JSON list, or of an object's ``queries``; each needs an id and a question."""
+    data = json.loads(text)
+    queries = data["queries"] if isinstance(data, dict) else data
+    for q in queries:
+        if not q.get("id") or not q.get("question"):
+            raise ValueError(f"a query needs an id and a question: {q!r}")
+    return queries
+
+
 def category(query: Mapping[str, object]) -> str:
     return "known-item" if "repo_any" in (query.get("requires") or {}) else "descriptive"

@@ -205,3 +205,17 @@ def tidy_reason(text: Column) -> Column:
     core = F.ltrim(F.trim(F.coalesce(text, F.lit(""))), F.lit(". "))
     core = F.regexp_replace(core, "(?i)^(?:" + "|".join(V.REASON_OPENINGS) + r")\s*", "")
     return F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 1 << 20))
+
+
+def thread_title(question: Column, most: int = 72) -> Column:
+    """A question on one line; a longer one than ``most`` is cut and ends in an ellipsis."""
+    return let(squeeze(question), lambda q: F.when(F.length(q) > most, F.concat(F.substring(q, 1, most - 1), F.lit("…"))).otherwise(q))
+
+
+def thread_digest(text: Column, most: int = 4000) -> Column:
+    """What a thread is found by: its text on one line in lower case, cut."""
+    return F.substring(F.lower(squeeze(text)), 1, most)
+
+
+def thread_matches(title: Column, digest: Column, term: str) -> Column:
+    return F.contains(digest, F.lit(term.lower())) | F.coalesce(F.contains(F.lower(title), F.lit(term.lower())), F.lit(False))

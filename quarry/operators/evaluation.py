@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import united
+
 LABELS = ("strong", "relevant", "exclude")
 
 
@@ -74,11 +78,26 @@ def golden_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, k: in
 
 def union_coverage(first: DataFrame, second: DataFrame, gold: DataFrame, depth: int = 10) -> DataFrame:
     """Whether the union of two channels' heads reached a relevant record, and how many."""
-    reached = first.filter(F.col("rank") <= depth).select("query_id", "id").unionByName(second.filter(F.col("rank") <= depth).select("query_id", "id")).distinct()
+    reached = united(first.filter(F.col("rank") <= depth).select("query_id", "id"), second.filter(F.col("rank") <= depth).select("query_id", "id")).distinct()
     hits = reached.join(gold.filter("is_gold").select("query_id", "id"), ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("n"))
     return reached.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0)).alias("covered"), F.coalesce("n", F.lit(0)).alias("relevant_reached"))
 
 
+def sweep(rank: Callable[[Mapping[str, float]], DataFrame], configs: Mapping[str, Mapping[str, float]], gold: DataFrame, queries: DataFrame, n_documents: Column, depth: int = 10, broad: float = 0.05) -> DataFrame:
+    """(config, group, means) of a ranking under several weights: ``rank`` gives (query_id, id, rank) for one set of weights.
+
+    ``queries`` (query_id, category).  All configurations are one plan.
+    """
+    parts = [summarise(rank_metrics(rank(w), gold, queries, depth).join(queries.select("query_id", "category"), "query_id"), n_documents, broad).withColumn("config", F.lit(name)) for name, w in configs.items()]
+    return united(*parts)
+
+
+def coverage_sweep(lexical: DataFrame, near: Callable[[Mapping[str, float]], DataFrame], configs: Mapping[str, Mapping[str, float]], gold: DataFrame, depth: int = 10) -> DataFrame:
+    """(config, covered, relevant_reached): means of ``union_coverage`` of lexical heads with vector heads under several weights."""
+    parts = [union_coverage(lexical, near(w), gold, depth).agg(F.avg("covered").alias("covered"), F.avg("relevant_reached").alias("relevant_reached")).withColumn("config", F.lit(name)) for name, w in configs.items()]
+    return united(*parts)
+
+
 def phrasing_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     """How nDCG changes when a query is worded in the other way."""
     return a.select("query_id", F.col("ndcg").alias("ndcg_a")).join(b.select("query_id", F.col("ndcg").alias("ndcg_b")), "query_id").withColumn("delta", F.col("ndcg_b") - F.col("ndcg_a"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import naming, text
 from quarry.functions import values as V
-from quarry.sources.tables import ensure_checkpoints
+from quarry.sources.tables import ensure_checkpoints, materialise, united
 
 NEAR_JACCARD = 0.90
 FAMILY_HOPS = 7
@@ -42,7 +42,7 @@ def lineage_roots(edges: DataFrame, hops: int | None = None) -> DataFrame:
     inner = nodes.filter("parent is not null").select(F.col("node").alias("inner_"))
     ended = jump.join(inner, jump["root"] == F.col("inner_"), "left")
     good = ended.filter("inner_ is null").select("node", "root")
-    return good.unionByName(cycle_roots(ended.filter("inner_ is not null").select("node", "root"), step))
+    return united(good, cycle_roots(ended.filter("inner_ is not null").select("node", "root"), step))
 
 
 def doubled(jump: DataFrame) -> DataFrame:
@@ -111,14 +111,16 @@ def near_duplicates(df: DataFrame, id_col: str, content: str, buckets: Sequence[
     if buckets:
         base = base.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in buckets]))
     prints = base.withColumn("s", F.array_sort(F.transform("s", lambda x: F.xxhash64(x)))).withColumn("k", F.sha2(F.concat_ws(",", F.transform("s", lambda x: x.cast("string"))), 256))
-    classes = prints.groupBy("k", *buckets).agg(F.min("id").alias("rep"), F.first("s").alias("s"))
+    # Written, as several branches read it.
+    classes = materialise(prints.groupBy("k", *buckets).agg(F.min("id").alias("rep"), F.first("s").alias("s")), "classes")
     named = classes.select(F.col("k").alias("k_of"), "rep", *[F.col(c).alias(f"{c}_of") for c in buckets])
-    member = prints.join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ("k", *buckets)]))
+    member = prints.drop("s").join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in ("k", *buckets)]))
     same = member.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    n = F.size("s")
-    exploded = classes.select("rep", *buckets, n.alias("n"), F.explode("s").alias("h"))
-    rarity = exploded.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = exploded.join(rarity, "h").withColumn("place", F.row_number().over(Window.partitionBy("rep", *buckets).orderBy("df", "h")))
+    exploded = classes.select("rep", *buckets, F.size("s").alias("n"), F.explode("s").alias("h"))
+    # A shingle of one class is the rarest and meets nothing, so only the others are moved; their places come after those.
+    shared = exploded.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("rep", *buckets)
+    ranked = exploded.join(shared, "h").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
     prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("rep", *buckets, "n", "h")
     x, y = prefix.alias("x"), prefix.alias("y")
     meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
@@ -129,7 +131,7 @@ def near_duplicates(df: DataFrame, id_col: str, content: str, buckets: Sequence[
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     jaccard = inter / (F.size("sa") + F.size("sb") - inter)
-    return both.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= least).select("a", "b", "jaccard").unionByName(same)
+    return united(both.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= least).select("a", "b", "jaccard"), same)
 
 
 def resolve(df: DataFrame, variants: DataFrame | None = None, patterns: naming.Patterns = V.NAME_PATTERNS) -> DataFrame:
@@ -174,7 +176,7 @@ def resolve(df: DataFrame, variants: DataFrame | None = None, patterns: naming.P
     said = F.array(F.lit("suppressed at selection as a packaging variant"))
     missing = F.array_append(said, F.concat(F.lit("canonical parent "), F.col("parent_"), F.lit(" not represented in this corpus")))
     attached = held.select("repo_id", "family_id", F.coalesce("best_", F.lit("")).alias("canonical_repo_id"), "relation", F.when(F.col("best_").isNull(), missing).otherwise(said).alias("evidence"), F.lit("variant").alias("discovery_scope"))
-    return out.unionByName(attached)
+    return united(out, attached)
 
 
 def variants_by_family(assigned: DataFrame) -> DataFrame:

@@ -250,6 +250,7 @@ def emit(facts: DataFrame, claims: DataFrame, enrichment: DataFrame, assigned: D
         "base_model": some(links(F.col("base_models"))),
         "trained_on_dataset": some(links(F.col("datasets"), "datasets/")),
         "model_card": F.when(F.col("card_status") == "ok", F.concat("url", F.lit("/blob/"), F.coalesce(F.nullif("revision", F.lit("")), F.lit("main")), F.lit("/README.md"))),
+        "format": some(F.col("format")),
         **{c: some(F.col(c)) for c in V.EVIDENCE_COLUMNS.values()},
         **{c: F.col(c) for c in ("task", "library", "architecture", "parameters", "context_length", "mixture_of_experts", "downloads", "likes", "trending_score", "gated", "license", "license_status", "declared_license", "card_status")},
     }
@@ -258,6 +259,19 @@ def emit(facts: DataFrame, claims: DataFrame, enrichment: DataFrame, assigned: D
     return j.select(*[c.alias(k) for k, c in out.items()])
 
 
+def json_ld(items: DataFrame) -> Column:
+    """The published record of an item as JSON: two vocabularies, two types, and a member for each column that isn't empty."""
+    kinds = dict(items.dtypes)
+    context = F.struct(F.lit(V.VOCABULARY).alias("@vocab"), F.lit(V.NAMESPACE).alias("hf"))
+    members = [context.alias("@context"), F.col("id").alias("@id"), F.array(*map(F.lit, V.RECORD_TYPES)).alias("@type")]
+    for member, column in V.RECORD_MEMBERS.items():
+        if column in kinds:
+            c = F.col(column)
+            full = F.when(F.size(c) > 0, c) if kinds[column].startswith("array") else F.nullif(c, F.lit("")) if kinds[column] == "string" else c
+            members.append(full.alias(member))
+    return F.to_json(F.struct(*members))
+
+
 def validate_json(items: DataFrame, body: str = "body") -> DataFrame:
     """``errors`` of published items in JSON (a string column): context, types, addresses, required members, leaks, lists."""
     v = F.try_parse_json(F.col(body))
@@ -307,6 +321,27 @@ def retrieval_fields(items: DataFrame) -> DataFrame:
     return items.select("id", text.strip_markup(name).alias("name"), text.strip_markup(about).alias("description"), text.strip_markup(body).alias("body"))
 
 
+def evaluation_fields(items: DataFrame, profile: str = "full") -> DataFrame:
+    """(id, a column for each field): the text of the evaluation's own index; profile ``metadata_only`` has what needs no enrichment."""
+    have = set(items.columns)
+    one = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
+    many = lambda *cs: F.flatten(F.array(*[F.coalesce(F.col(c), empty()) if c in have else empty() for c in cs]))
+    words = lambda *cs: F.array_join(many(*cs), " ")
+    built = {
+        "name": F.concat_ws(" ", one("name"), one("repo_id")),
+        "subcategory": F.array_join(F.array_append(many("category"), one("task")), " "),
+        "subject": F.replace(words("subject"), F.lit("-"), F.lit(" ")),
+        "capability": words("capability"),
+        "keywords": F.array_join(F.array_append(many("keywords"), one("library")), " "),
+        "description": one("description"),
+        "evidence": words(*V.EVIDENCE_COLUMNS.values()),
+        "publisher": F.coalesce(F.col("creator.name"), F.lit("")) if "creator" in have else F.lit(""),
+        "notes": words("intended_use", "limitation", "deployment_note"),
+    }
+    kept = V.METADATA_FIELDS if profile == "metadata_only" else tuple(built)
+    return items.select("id", *[built[f].alias(f) for f in built if f in kept])
+
+
 def ranking_projection(items: DataFrame, keys: Mapping[str, str] | list[str], most_items: int = 20, most_signs: int = 1000) -> Column:
     """A JSON digest of allowed members: lists cut to 20, strings to 1000 signs; empty members left out."""
 

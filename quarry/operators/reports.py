@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import values as V
+from quarry.operators.selection import running
 
 RELATIONS = tuple(V.EVIDENCE_COLUMNS.values())
 
@@ -64,13 +65,12 @@ def vocabulary_coverage(values: DataFrame, column: str, vocabulary: Sequence[str
 def upper_median(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """The value at place n div 2 of the sorted values: not interpolated, the upper one of an even number.
 
-    Values are counted first, so a group's window holds distinct values alone.
+    Values are counted first, and counts are added up over ranges of values, so no task holds a group.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by)
-    run = F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", run).withColumn("n", F.sum("k").over(w))
-    return placed.filter((F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("k") <= F.floor(F.col("n") / 2))).select(*by, F.col("v").alias("upper_median"))
+    half = F.floor(F.col("of_") / 2)
+    placed = running(counts, by, "v", "k", "upto_", "of_")
+    return placed.filter((F.col("upto_") > half) & (F.col("upto_") - F.col("k") <= half)).select(*by, F.col("v").alias("upper_median"))
 
 
 def dropped_reasons(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ are ever broadcast or collected.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions import text as X
 from quarry.functions import values as V
-from quarry.sources.tables import materialise
+from quarry.sources.tables import materialise, united
 
 #: Bits of monotonically_increasing_id that number the rows inside one partition.
 ROW_BITS = 33
@@ -33,11 +33,28 @@ class Index:
     documents: DataFrame
 
 
-def build_index(df: DataFrame, id_col: str, fields: Sequence[str]) -> Index:
-    """Postings of each field; a term's documents are counted once across all fields; a field's mean length is over non-empty ones."""
+#: Asked tokens up to which they are broadcast.
+BROADCAST_TOKENS = 1 << 20
+
+
+def asked_only(tokens: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Rows of ``tokens`` with a token of ``only``, if that is given."""
+    if only is None:
+        return tokens
+    wanted = only.select("token").distinct()
+    return tokens.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted, "token", "left_semi")
+
+
+def build_index(df: DataFrame, id_col: str, fields: Sequence[str], only: DataFrame | None = None) -> Index:
+    """Postings of each field; a term's documents are counted once across all fields; a field's mean length is over non-empty ones.
+
+    With ``only`` (token) postings and frequencies of these tokens alone are made: for a few questions tokens are left out in the
+    scan, before anything is shuffled.  Lengths and statistics are those of whole fields.
+    """
     long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.col(f)).alias("toks")) for f in fields])).alias("x")).select("id", "x.field", "x.toks")
     sized = long.select("id", "field", "toks", F.size("toks").alias("len")).filter("len > 0")
-    postings = sized.select("id", "field", "len", F.explode("toks").alias("token")).groupBy("id", "field", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tokens = asked_only(sized.select("id", "field", "len", F.explode("toks").alias("token")), only)
+    postings = tokens.groupBy("id", "field", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     terms = postings.select("token", "id").distinct().groupBy("token").agg(F.count("*").alias("df"))
     stats = sized.groupBy("field").agg(F.avg("len").alias("avg_len"))
     return Index(postings, terms, stats, df.select(F.col(id_col).alias("id")))
@@ -80,15 +97,15 @@ def eval_bm25(df: DataFrame, id_col: str, fields: Sequence[str], queries: DataFr
     (query_id, id, score) with scores above 0, to four places.
     """
     used = [f for f in fields if boosts.get(f)]
-    long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(float(boosts[f])).alias("boost"), X.rich_tokens(F.col(f)).alias("toks")) for f in used])).alias("x"))
-    counts = long.select("id", "x.boost", F.explode("x.toks").alias("token")).groupBy("id", "token").agg(F.sum("boost").alias("tf"))
-    lengths = counts.groupBy("id").agg(F.sum("tf").alias("len"))
-    n = df.select(F.col(id_col)).agg(F.count("*").alias("n"))
-    mean = lengths.agg(F.sum("len").alias("total")).crossJoin(n).select("n", (F.col("total") / F.col("n")).alias("avg_len"))  # one row each
-    dfs = counts.groupBy("token").agg(F.count("*").alias("df"))
+    counted = F.array(*[F.struct(F.lit(float(boosts[f])).alias("boost"), X.rich_tokens(F.col(f)).alias("toks")) for f in used])
+    length = F.aggregate("x", F.lit(0.0), lambda acc, f: acc + f["boost"] * F.size(f["toks"]))
+    sized = df.select(F.col(id_col).alias("id"), counted.alias("x")).withColumn("len", length)
+    mean = sized.agg(F.count("*").alias("n"), (F.sum("len") / F.count("*")).alias("avg_len"))  # one row
     terms = queries.select("query_id", F.explode(X.rich_tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    asked = terms.join(dfs, "token").crossJoin(F.broadcast(mean))
-    hits = counts.join(asked, "token").join(lengths, "id")
+    tokens = asked_only(sized.select("id", "len", F.explode("x").alias("f")).select("id", "len", "f.boost", F.explode("f.toks").alias("token")), terms)
+    counts = tokens.groupBy("id", "token").agg(F.sum("boost").alias("tf"), F.first("len").alias("len"))
+    dfs = counts.groupBy("token").agg(F.count("*").alias("df"))
+    hits = counts.join(terms.join(dfs, "token").crossJoin(F.broadcast(mean)), "token")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
@@ -121,46 +138,71 @@ def block_scores(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, f
     return [vectors.crossJoin(F.broadcast(q)).select("query_id", F.col(id_col).alias("id"), score.alias("score")) for q in blocks(queries.select("query_id", "vector"), most_queries)]
 
 
+def field_vectors(df: DataFrame, id_col: str, fields: Sequence[str], embed: Callable[[Column], Column], dims: int) -> DataFrame:
+    """(id, a vector for each field): what ``embed`` makes of its text; an empty field has zeros, which add nothing to a score."""
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    return df.select(F.col(id_col).alias("id"), *[F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) == "", zeros).otherwise(embed(F.col(f))).alias(f) for f in fields])
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "id", most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, score): products of each query's vector with every document's, a weighted sum over field columns.
 
     ``vectors`` has a vector column for each field of ``weights`` (a zero or null vector adds nothing), or ``embedding``.
     ``queries`` (query_id, vector) are broadcast in blocks of at most ``most_queries``, however many there are.
     """
-    return reduce(DataFrame.unionByName, block_scores(vectors, queries, weights, id_col, most_queries))
+    return united(*block_scores(vectors, queries, weights, id_col, most_queries))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, places: int = 9, **options: object) -> DataFrame:
     """(query_id, id, score): the best k of ``vector_scores`` for each query, scores rounded before they are ranked.  Each block of queries is reduced before blocks are united."""
     best = [top_k(s.withColumn("score", F.round("score", places)), k).drop("rank") for s in block_scores(vectors, queries, **options)]
-    return reduce(DataFrame.unionByName, best)
+    return united(*best)
 
 
-def top_k(scores: DataFrame, k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def top_k(scores: DataFrame, k: int, scope: DataFrame | None = None, exclude: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """The best k a query, by score and then id, with their rank.
 
-    With ``scope`` (id; the documents that may be returned), those without a score count 0 and fill up the k.
+    With ``scope`` (id, and ``site`` if queries ask for one), only its documents are returned, and those without a score count 0 and
+    fill up the k in order of id, for queries without any hit too if ``queries`` (query_id, and ``site``; null: all) are given.
     ``exclude`` (query_id, id) is taken out before ranking.
     """
     if scope is not None:
-        asked = scores.select("query_id").distinct()
-        # Enough unscored documents for any query: the k with the smallest ids, plus as many as may be scored or excluded.
-        held = scores.join(scope, "id", "left_semi")
-        first = held.groupBy("query_id").agg(F.count("*").alias("have"))
-        low = scope.orderBy("id").limit(2 * k + int(exclude.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) if exclude is not None else 2 * k)
-        pad = asked.join(first, "query_id", "left").filter(F.coalesce("have", F.lit(0)) < 2 * k).select("query_id").crossJoin(F.broadcast(low)).join(held, ["query_id", "id"], "left_anti")
-        scores = held.select("query_id", "id", "score").unionByName(pad.select("query_id", "id", F.lit(0.0).alias("score")))
-    if exclude is not None:
+        asked = (queries if queries is not None else scores).select("query_id", *(["site"] if queries is not None and "site" in queries.columns else [])).distinct()
+        by_site = "site" in asked.columns
+        held = scores.select("query_id", "id", "score")
+        if by_site:
+            placed = held.join(asked, "query_id").join(scope.select("id", F.col("site").alias("at_")), "id")
+            held = placed.filter(F.col("site").isNull() | (F.col("site") == F.col("at_"))).select("query_id", "id", "score")
+        else:
+            held = held.join(scope.select("id"), "id", "left_semi")
+        if exclude is not None:
+            held = held.join(exclude, ["query_id", "id"], "left_anti")
+        have = held.groupBy("query_id").agg(F.count("*").alias("have"))
+        few = asked.join(have, "query_id", "left").filter(F.coalesce("have", F.lit(0)) < k).drop("have")
+        # Of the ids in order, fewer than k are held by such a query, and no more are excluded than any query excludes.
+        most = 2 * k + int(exclude.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0 if exclude is not None else 0)
+        low = scope.select("id").orderBy("id").limit(most)
+        if by_site:
+            first = scope.select("id", "site").withColumn("n_", F.row_number().over(Window.partitionBy("site").orderBy("id"))).filter(F.col("n_") <= most).drop("n_")
+            low = united(first.filter("site is not null"), low.withColumn("site", F.lit(None).cast("string")))
+            pad = few.join(low.withColumnRenamed("site", "at_"), F.col("site").eqNullSafe(F.col("at_"))).select("query_id", "id")
+        else:
+            pad = few.crossJoin(F.broadcast(low))  # some 2 k rows
+        if exclude is not None:
+            pad = pad.join(exclude, ["query_id", "id"], "left_anti")
+        pad = pad.join(held, ["query_id", "id"], "left_anti")
+        scores = united(held, pad.select("query_id", "id", F.lit(0.0).alias("score")))
+    elif exclude is not None:
         scores = scores.join(exclude, ["query_id", "id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def compare(lexical: DataFrame, vector: DataFrame, k: int, cut: bool = False) -> DataFrame:
-    """Lexical top k, then the vector top k of what is left; no fusion.  ``cut`` keeps k in all."""
-    first = top_k(lexical, k).withColumn("channel", F.lit("bm25"))
+def compare(lexical: DataFrame, vector: DataFrame, k: int, cut: bool = False, scope: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Lexical top k, then the vector top k of what is left; no fusion.  ``cut`` keeps k in all; ``scope`` and ``queries`` fill the lexical k."""
+    first = top_k(lexical, k, scope, queries=queries).withColumn("channel", F.lit("bm25"))
     second = top_k(vector, k, exclude=first.select("query_id", "id")).withColumn("channel", F.lit("vector"))
-    both = first.unionByName(second)
+    both = united(first, second)
     if cut:
         place = Window.partitionBy("query_id").orderBy("channel", "rank")
         both = both.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).drop("place")
@@ -184,6 +226,18 @@ def parse_verdict(verdict: Column, least: int = 60) -> Column:
     return F.when(word == "strong", 90).when(word == "relevant", least).when(word.isin("exclude", "irrelevant", "none", "no"), None).otherwise(F.when(number >= least, number))
 
 
+def join_verdicts(candidates: DataFrame, verdicts: DataFrame, order: str = "arrival") -> DataFrame:
+    """``candidates`` (query_id, batch) with the ``verdict`` that a judge gave to their place in the batch, counted from 0 in ``order``.
+
+    ``verdicts`` (query_id, batch, index: text, said: their order, verdict): the first of a place counts; places that no candidate has, and
+    those that are no number, are dropped, and so are candidates without a verdict.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id", "batch").orderBy(order)) - 1
+    told = verdicts.withColumn("place_", F.col("index").try_cast("int")).filter("place_ is not null")
+    first = told.groupBy("query_id", "batch", "place_").agg(F.min_by("verdict", "said").alias("verdict"))
+    return candidates.withColumn("place_", place).join(first, ["query_id", "batch", "place_"]).drop("place_")
+
+
 def bounded(value: Column, default: int, ceiling: int) -> Column:
     """A width: the default where none is asked for, else between 1 and the ceiling."""
     return F.when(value.isNull(), default).otherwise(F.least(F.greatest(value, F.lit(1)), F.lit(ceiling)))
@@ -240,6 +294,11 @@ def scope_filter(df: DataFrame, site: str | None, kinds: Mapping[str, str] | Non
     return F.when(declared.isNotNull(), declared == "models").otherwise(model)
 
 
+def sites(documents: DataFrame) -> DataFrame:
+    """The collections that documents belong to, once each, in order."""
+    return documents.select("site").distinct().orderBy("site")
+
+
 def hash_embedding(texts: Column, dims: int = 384) -> Column:
     """A deterministic stand-in for an embedding model: signed token counts at md5 places, of length 1; zeros for no tokens."""
     digest = lambda t: F.md5(t.cast("binary"))

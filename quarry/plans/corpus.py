@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import naming, text
 from quarry.functions import values as V
 from quarry.operators import cards, evidence, families, records, reports, selection
-from quarry.sources.tables import materialise
+from quarry.sources.tables import materialise, united
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def build(raw: DataFrame, found: DataFrame, card_texts: DataFrame, policy: Polic
     checked = keep(evidence.check_claims(claims, clean, policy.taxonomy), "claims")
     items = keep(records.emit(facts, checked, enrichment, assigned, abstracts), "items")
     dropped = decisions.filter("decision = 'included'").join(kept, "repo_id", "left_anti").select("repo_id", "stratum", F.lit("excluded").alias("decision"), F.lit("excluded_empty_card").alias("reason"), "score")
-    log = decisions.join(dropped.select("repo_id"), "repo_id", "left_anti").unionByName(dropped)
+    log = united(decisions.join(dropped.select("repo_id"), "repo_id", "left_anti"), dropped)
     return {"decisions": log, "cards": clean, "facts": facts, "families": assigned, "claims": checked, "items": items, "composition": report(items)}
 
 

@@ -104,14 +104,14 @@ def best(scores: DataFrame, k: int = 10) -> DataFrame:
 
 @query(bm25_sql(32.0, 0.5))
 def bm25f_topk(spark, sf):
-    index = retrieval.build_index(searchable(spark, sf), "id", ["name", "body"])
-    return best(retrieval.bm25f(index, retrieval.query_terms(asked(spark))))
+    terms = retrieval.query_terms(asked(spark))
+    return best(retrieval.bm25f(retrieval.build_index(searchable(spark, sf), "id", ["name", "body"], terms), terms))
 
 
 @query(bm25_sql(1.0, 1.0))
 def bm25_flat_topk(spark, sf):
-    index = retrieval.build_index(searchable(spark, sf), "id", ["name", "body"])
-    return best(retrieval.flat_bm25(index, retrieval.query_terms(asked(spark)), ["name", "body"]))
+    terms = retrieval.query_terms(asked(spark))
+    return best(retrieval.flat_bm25(retrieval.build_index(searchable(spark, sf), "id", ["name", "body"], terms), terms, ["name", "body"]))
 
 
 @query(f"""
@@ -518,7 +518,8 @@ WITH {TOKEN_SQL}, q AS ({values_sql()}), n AS (SELECT count(*) AS n FROM documen
 
 def metrics(spark, sf):
     docs = searchable(spark, sf)
-    ranked = retrieval.top_k(retrieval.bm25f(retrieval.build_index(docs, "id", ["name", "body"]), retrieval.query_terms(asked(spark))).withColumn("score", F.round("score", 9)), 10)
+    terms = retrieval.query_terms(asked(spark))
+    ranked = retrieval.top_k(retrieval.bm25f(retrieval.build_index(docs, "id", ["name", "body"], terms), terms).withColumn("score", F.round("score", 9)), 10)
     wanted = spark.createDataFrame([("q1", "en"), ("q2", "en"), ("q3", "fr"), ("q4", "de")], "query_id string, lang string")
     gold = table(spark, sf, "documents").filter("n_chars > 1000").join(wanted, "lang").select("query_id", F.col("doc_id").alias("id"), F.lit(True).alias("is_gold"), F.lit(False).alias("is_trap"))
     return evaluation.rank_metrics(ranked, gold, asked(spark))

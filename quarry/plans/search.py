@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.operators import retrieval
+from quarry.sources.tables import united
 
 Judge = Callable[[DataFrame], DataFrame]
 
@@ -42,20 +43,17 @@ def valid(requests: DataFrame) -> Column:
 def candidates(requests: DataFrame, documents: DataFrame, index: retrieval.Index, widths: Widths, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, id, bm25_score, vector_score, channel, arrival): lexical candidates, then vector candidates that are new.
 
-    A request's site is matched before ranking.
+    A request's site is matched before ranking; documents without a query word count 0 and fill up the candidates.
     """
-    sites = requests.select("query_id", F.nullif(F.col("site"), F.lit("all")).alias("want"))
+    sites = requests.select("query_id", F.nullif(F.col("site"), F.lit("all")).alias("site"))
     placed = documents.select("id", "site")
-
-    def scoped(scores: DataFrame) -> DataFrame:
-        j = scores.join(sites, "query_id").join(placed, "id")
-        return j.filter(F.col("want").isNull() | (F.col("want") == F.col("site"))).select("query_id", "id", "score")
-
-    lexical = scoped(retrieval.bm25f(index, retrieval.query_terms(requests)))
+    lexical = retrieval.bm25f(index, retrieval.query_terms(requests))
     if vectors is None:
-        out = retrieval.top_k(lexical, widths.retrieve).withColumn("channel", F.lit("bm25"))
+        out = retrieval.top_k(lexical, widths.retrieve, placed, queries=sites).withColumn("channel", F.lit("bm25"))
     else:
-        out = retrieval.compare(lexical, scoped(retrieval.vector_scores(vectors, query_vectors, weights)), widths.retrieve)
+        j = retrieval.vector_scores(vectors, query_vectors, weights).join(sites, "query_id").join(placed.withColumnRenamed("site", "at_"), "id")
+        near = j.filter(F.col("site").isNull() | (F.col("site") == F.col("at_"))).select("query_id", "id", "score")
+        out = retrieval.compare(lexical, near, widths.retrieve, scope=placed, queries=sites)
     order = Window.partitionBy("query_id").orderBy("channel", "rank")
     out = out.withColumn("arrival", F.row_number().over(order))
     if widths.judge is not None:
@@ -111,9 +109,7 @@ def events(requests: DataFrame, cands: DataFrame, results: DataFrame, answers: D
     ]
     if answers is not None:
         parts.append(answers.select("query_id", F.lit(3), F.lit(0), F.lit("answer"), js("answer")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    out = united(*[p.toDF("query_id", "phase", "at", "type", "payload") for p in parts])
     w = Window.partitionBy("query_id").orderBy("phase", "at")
     return out.select("query_id", F.row_number().over(w).alias("sequence"), "type", "payload")
 

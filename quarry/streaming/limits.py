@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import deque
 from collections.abc import Iterator
@@ -14,16 +15,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 DECISION = "event_id long, client string, ts double, accepted boolean, reason string, retry_after int"
-REASONS = {"hour": "Hourly query budget reached.", "day": "Daily query budget reached.", "client": "Client query limit reached."}
+REASONS = {"running": "Too many queries are already running.", "hour": "Hourly query budget reached.", "day": "Daily query budget reached.", "client": "Client query limit reached."}
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Accepted queries at most: of a client in a minute, of all in an hour and in a day; 0 is no limit."""
+    """Accepted queries at most: of a client in a minute, of all in an hour and in a day, and of all at a time; 0 is no limit."""
 
     per_minute: int = 10
     per_hour: int = 0
     per_day: int = 0
+    running: int = 0
 
 
 class Window_:
@@ -74,7 +76,7 @@ def client_limits(events: DataFrame, limits: Limits) -> DataFrame:
 
 def all_limits(events: DataFrame, limits: Limits) -> DataFrame:
     """Decisions under all limits.  A global budget makes each decision depend on all before it: one task, narrow rows, windows in memory."""
-    ordered = events.select("event_id", F.col("client").cast("string"), F.col("ts").cast("double")).coalesce(1).sortWithinPartitions("ts", "event_id")
+    ordered = events.select("event_id", F.col("client").cast("string"), F.col("ts").cast("double")).repartition(1).sortWithinPartitions("ts", "event_id")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hour, day, clients = Window_(3600, limits.per_hour), Window_(86400, limits.per_day), {}
@@ -88,6 +90,47 @@ def all_limits(events: DataFrame, limits: Limits) -> DataFrame:
     return ordered.mapInPandas(fold, DECISION)
 
 
+class Leases:
+    """Ends of accepted queries that still run; one that ends at a time has ended then."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.ends = most, []
+
+    def full(self, now: float) -> bool:
+        while self.ends and self.ends[0] <= now:
+            heapq.heappop(self.ends)
+        return 0 < self.most <= len(self.ends)
+
+
+def leased_limits(events: DataFrame, limits: Limits) -> DataFrame:
+    """Decisions under all limits of (event_id, client, ts, end): the limit of running queries is asked first, and lets no event be remembered.
+
+    Like ``all_limits`` one task reads narrow rows in order and holds windows and ends of what runs.
+    """
+    ordered = events.select("event_id", F.col("client").cast("string"), F.col("ts").cast("double"), F.col("end").cast("double")).repartition(1).sortWithinPartitions("ts", "event_id")
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hour, day, clients, leases = Window_(3600, limits.per_hour), Window_(86400, limits.per_day), {}, Leases(limits.running)
+        for part in parts:
+            out = []
+            for e, c, t, end in part.itertuples(index=False):
+                if leases.full(t):
+                    out.append((e, c, t, False, REASONS["running"], 1))
+                    continue
+                out.append((e, c, t, *decide(t, [("hour", hour), ("day", day), ("client", clients.setdefault(c, Window_(60, limits.per_minute)))])))
+                if out[-1][3]:
+                    heapq.heappush(leases.ends, end)
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in DECISION.split(", ")])
+
+    return ordered.mapInPandas(fold, DECISION)
+
+
+def responses(decisions: DataFrame) -> DataFrame:
+    """What a client is told: status 200, or 429 with the reason and the seconds to wait."""
+    ok = F.col("accepted")
+    return decisions.select("event_id", F.when(ok, 200).otherwise(429).alias("status"), F.when(~ok, F.col("retry_after").cast("string")).alias("retry_after"), F.when(~ok, F.to_json(F.struct(F.col("reason").alias("error")))).alias("body"))
+
+
 class ClientLimiter(StatefulProcessor):
     """The client limit on a stream: state is the accepted times of the last minute, and goes when they are old."""
 

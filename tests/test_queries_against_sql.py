@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quarry.plans import catalog_queries, result_queries  # noqa: F401  they register theirs
 from quarry.plans.queries import ORACLES, QUERIES
 
 
