@@ -22,7 +22,10 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's bound of Arrow batches to BATCH_BYTES, unless it is lower already."""
+    """Lower the session's bound of Arrow batches to BATCH_BYTES, unless it is lower already.
+
+    Spark reads the bound when a plan runs, and plans are returned before they do, so it stays lowered for the session.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now > BATCH_BYTES:

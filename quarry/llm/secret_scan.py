@@ -11,7 +11,6 @@ A rule has to be one of those whose matches, once complete, either grow with the
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -381,15 +380,3 @@ def scan_frame(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules:
 
     out = df.select(F.col(id_col), found(F.col(text)).alias("found"))
     return also(out) if also else out
-
-
-def naive_spans(text: str, rules: Sequence[Rule] = RULES) -> list[tuple[str, int, int]]:
-    """The definition, a rule at a time by the regex library: for tests."""
-    out = []
-    for k, r in enumerate(rules):
-        out += [(m.start(), k, m.end()) for m in re.finditer(cased(r), text) if len(m[r.group]) >= r.least]
-    return [(rules[k].kind, s, e) for s, k, e in sorted(out)]
-
-
-def digest(lines: Sequence[str]) -> str:
-    return hashlib.sha256(",".join(lines).encode()).hexdigest()

@@ -130,16 +130,3 @@ def count_tokens(df: DataFrame, model_file: str, id_col: str = "doc_id", text: s
         return pa.array([dict(zip(("n_words", "n_tokens", "n_unknown", "max_word_tokens"), r, strict=True)) for r in rows], pa.struct([(n, pa.int64()) for n in ("n_words", "n_tokens", "n_unknown", "max_word_tokens")]))
 
     return df.select(F.col(id_col), counts(F.col(text)).alias("c")).select(id_col, "c.*")
-
-
-def greedy_count(word: str, initial: set[str], continuing: set[str], unknown: int = 1) -> int:
-    """The definition, by trying every length: for tests."""
-    at, n = 0, 0
-    while at < len(word):
-        vocabulary = continuing if at else initial
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary), None)
-        if end is None:
-            return unknown
-        at, n = end, n + 1
-    return n
-

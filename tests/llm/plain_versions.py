@@ -5,6 +5,7 @@ import re
 from datetime import date, timedelta
 from itertools import combinations
 
+from quarry.llm import secret_scan
 from quarry.llm.decontamination import WINDOW
 from quarry.llm.pii import DAYS, FIRST_DAY, ROUNDS
 from quarry.llm.simhash import DISTANCE
@@ -105,3 +106,23 @@ def naive_hits(words: list[bytes], items: list[tuple[str, list[bytes]]], window:
                 hit.update(range(i, i + size))
                 ids.add(name)
     return hit, ids
+
+
+def naive_spans(text: str, rules: tuple = secret_scan.RULES) -> list[tuple[str, int, int]]:
+    """The definition, a rule at a time by the regex library."""
+    out = []
+    for k, r in enumerate(rules):
+        out += [(m.start(), k, m.end()) for m in re.finditer(secret_scan.cased(r), text) if len(m[r.group]) >= r.least]
+    return [(rules[k].kind, s, e) for s, k, e in sorted(out)]
+
+
+def greedy_count(word: str, initial: set[str], continuing: set[str], unknown: int = 1) -> int:
+    """The definition, by trying every length."""
+    at, n = 0, 0
+    while at < len(word):
+        vocabulary = continuing if at else initial
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary), None)
+        if end is None:
+            return unknown
+        at, n = end, n + 1
+    return n
