@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import naming, text
 from quarry.functions import values as V
+from quarry.sources.tables import materialise, united
 
 HUB = "https://huggingface.co"
 NONE = "array<string>"
@@ -367,3 +368,24 @@ def enrichment_key(model: Column, prompt: Column, card_sha: Column, digest: Colu
 def prompt_version(version: str, vocabulary: list[str]) -> Column:
     """A version with eight hex digits of its vocabulary."""
     return F.concat(F.lit(f"{version}-"), F.substring(F.sha2(F.lit("\n".join(vocabulary)), 256), 1, 8))
+
+
+def enrich(wanted: DataFrame, model: Callable[[DataFrame], DataFrame], prices: tuple[float, float] = (0.0, 0.0), attempts: int = 2) -> DataFrame:
+    """What a model made of each row of ``wanted`` (repo_id, enrichment_key and what the model reads), or why it is in quarantine.
+
+    ``model`` gives (repo_id, payload, error, retryable, input_tokens, output_tokens, cost) for the rows that it gets.  What fails and may be
+    tried again is asked once more, up to ``attempts`` times; each round is written, so that no answer is paid for twice.  A call
+    that tells no cost has that of its tokens at ``prices`` a million.
+    """
+    rounds, rest = [], wanted
+    for n in range(1, attempts + 1):
+        told = materialise(model(rest), "answers").withColumn("attempts", F.lit(n))
+        again = F.col("error").isNotNull() & F.coalesce("retryable", F.lit(False)) & F.lit(n < attempts)
+        rounds.append(told.filter(~again))
+        rest = rest.join(told.filter(again).select("repo_id"), "repo_id", "left_semi")
+    out = united(*rounds)
+    listed = F.round(F.col("input_tokens") / 1e6 * prices[0] + F.col("output_tokens") / 1e6 * prices[1], 6)
+    good = F.col("error").isNull()
+    return wanted.select("repo_id", "enrichment_key").join(out, "repo_id").select(
+        "repo_id", "enrichment_key", F.when(good, "ok").otherwise("quarantined").alias("status"), F.when(good, F.col("payload")).alias("payload"), "attempts", F.when(good, F.coalesce("cost", listed)).alias("cost"), "error"
+    )

@@ -255,6 +255,44 @@ def vector_report(spark, sf):
 # --- requests -----------------------------------------------------------------------------------------
 
 
+@query("""SELECT event_id AS query_id, CASE WHEN event_id % 10 = 9 THEN '' ELSE 'q' || event_id END AS question, CASE WHEN event_id % 10 <> 9 AND event_id % 4 = 2 THEN 's' || (event_id % 7) END AS site, CASE WHEN event_id % 10 = 9 THEN 'summarize' WHEN event_id % 6 = 0 THEN 'list' WHEN event_id % 6 = 1 THEN 'odd' ELSE 'summarize' END AS mode,
+  CASE WHEN event_id % 10 = 9 THEN '' ELSE CASE event_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'c|d' ELSE 'one' END END AS previous, CASE WHEN event_id % 10 = 9 THEN 'compare' WHEN event_id % 5 = 0 THEN 'bm25' WHEN event_id % 5 = 1 THEN 'best' ELSE 'compare' END AS retrieval,
+  CASE WHEN event_id % 10 <> 9 AND event_id % 8 = 0 THEN user_id ELSE NULL END::INT AS max_results, CASE WHEN event_id % 10 <> 9 AND event_id % 8 < 4 THEN 70 ELSE 60 END::INT AS min_score, CASE WHEN event_id % 10 <> 9 AND event_id % 11 > 1 THEN (event_id % 11 - 2) END::INT AS retrieval_count, event_id % 10 <> 9 AND event_id % 2 = 0 AS include_excluded,
+  CASE WHEN event_id % 10 = 9 THEN 'the body is no JSON' WHEN event_id % 5 = 1 THEN 'retrieval must be vector, bm25, or compare' WHEN event_id % 6 = 1 THEN 'unknown mode odd' WHEN event_id % 11 = 1 THEN 'retrieval_count must be an integer' WHEN event_id % 11 = 2 THEN 'retrieval_count must be at least 1' END AS error FROM events""")
+def parsed_requests(spark, sf):
+    """Requests of JSON bodies, and why some are refused."""
+    e, k = table(spark, sf, "events"), F.col("event_id")
+    n = k.cast("string")
+    plain, own = F.concat(F.lit('"query":"  q'), n, F.lit(' "')), F.concat(F.lit('"query":{"text":"q'), n, F.lit('","site":"s'), (k % 7).cast("string"), F.lit('"}'))
+    parts = [
+        F.when(k % 4 == 2, own).otherwise(plain), F.when(k % 4 == 1, '"site":"all"').when(k % 4 == 3, '"site":""'), F.when(k % 6 == 0, '"mode":"summarize"').when(k % 6 == 1, '"mode":"odd"'),
+        F.when(k % 3 == 0, '"previous_queries":["a","b"]').when(k % 3 == 1, F.lit('"context":{"prev":"[\\"c\\",\\"d\\"]"}')).otherwise('"prev":"one"'), F.when(k % 5 == 0, '"retrieval":"bm25"').when(k % 5 == 1, '"retrieval":"best"'),
+        F.when(k % 11 == 1, '"retrieval_count":"few"').when(k % 11 > 1, F.concat(F.lit('"retrieval_count":'), (k % 11 - 2).cast("string"))), F.when(k % 2 == 0, '"include_excluded":true'), F.when(k % 8 < 4, '"min_score":50'),
+        F.concat(F.lit('"prefer":{'), F.concat_ws(",", F.when(k % 6 == 0, '"mode":"list"'), F.when(k % 8 < 4, '"min_score":70'), F.when(k % 8 == 0, F.concat(F.lit('"max_results":'), F.col("user_id").cast("string")))), F.lit("}")),
+    ]
+    body = F.when(k % 10 == 9, "{no").otherwise(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+    got = search.parse_requests(e.select(k.alias("query_id"), body.alias("body")))
+    return got.withColumn("previous", joined("previous")).drop("ranking_count")
+
+
+@query("""SELECT p_partkey::VARCHAR AS repo_id, 'k' || p_partkey AS enrichment_key, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'quarantined' ELSE 'ok' END AS status, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN NULL ELSE 'about ' || p_name END AS payload,
+  CASE WHEN p_partkey % 7 = 0 THEN 1 WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 0.25 ELSE round(p_size * 1000 / 1e6 * 2.0 + 500 / 1e6 * 8.0, 6) END AS cost,
+  CASE WHEN p_partkey % 7 = 0 THEN 'BadRequestError' WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'timeout' END AS error FROM part""")
+def enrichments(spark, sf):
+    """Answers of a model that refuses every seventh row and fails for every third, for even ones again."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("repo_id"), F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("enrichment_key"), "p_partkey", "p_name", "p_size")
+    asked_ = []
+
+    def model(rows):
+        k = F.col("p_partkey")
+        fails = (k % 3 == 0) if not asked_ else (k % 2 == 0)
+        asked_.append(1)
+        error = F.when(k % 7 == 0, "BadRequestError").when(fails, "timeout")
+        return rows.select("repo_id", F.concat(F.lit("about "), "p_name").alias("payload"), error.alias("error"), (error == "timeout").alias("retryable"), (F.col("p_size") * 1000).alias("input_tokens"), F.lit(500).alias("output_tokens"), F.when(k % 5 == 0, 0.25).alias("cost"))
+
+    return records.enrich(p, model, (2.0, 8.0))
+
+
 @query("""SELECT event_id, user_id % 3 = 0 OR (user_id % 3 = 1 AND event_type = 'click') AS paid, CASE WHEN user_id % 4 < 2 AND event_id % 3 > 0 THEN '10.0.0.' || (event_id % 3) WHEN user_id % 4 = 3 THEN 'unknown' ELSE 'h' || (user_id % 4) END AS client FROM events""")
 def paid_requests(spark, sf):
     """Requests that have to be paid for, and whose they are: proxies h0 and h1 are trusted."""
@@ -311,7 +349,12 @@ def asked_without_judge(spark, sf):
 
 
 def folder(spark, label):
-    return tables.scratch(spark, label)
+    """A new place in the shared folder, which goes when the driver ends."""
+    top = tables.scratch(spark, label)
+    fs, path = tables.hadoop(spark, top)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{top}/data"
 
 
 @query("SELECT doc_id, text, lang, source FROM documents")

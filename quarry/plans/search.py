@@ -36,6 +36,40 @@ def last_questions(requests: DataFrame, most: int = 5) -> DataFrame:
     return requests.withColumn("question", F.when(F.size(before) > 0, F.concat_ws(" ", F.array_join(F.reverse(before), " "), "question")).otherwise(F.col("question")))
 
 
+MODES = ("list", "summarize", "generate")
+CHANNELS = ("vector", "bm25", "compare")
+
+
+def parse_requests(bodies: DataFrame, body: str = "body", defaults: Widths = Widths()) -> DataFrame:
+    """Typed requests of JSON bodies (query_id, body), with an ``error`` where a value is refused.
+
+    Members of ``prefer`` come before those of the body.  A query may be a text or an object (text, site); the sites ``all`` and '' are none;
+    earlier questions are a list, a list as text, or one text.  Widths that are given must be whole and 1 at least; nothing is
+    replaced in silence.
+    """
+    v = F.try_parse_json(body)
+    at = lambda path, kind="string": F.try_variant_get(v, f"$.{path}", kind)
+    asked = lambda name: F.coalesce(at(f"prefer.{name}"), at(name))
+    nested = F.schema_of_variant(F.try_variant_get(v, "$.query", "variant")).startswith("OBJECT")
+    question = F.trim(F.coalesce(F.when(nested, at("query.text")).otherwise(at("query")), F.lit("")))
+    site = F.when(nested, at("query.site")).otherwise(at("site"))
+    lists = F.coalesce(*[at(p, "array<string>") for p in ("previous_queries", "context.prev", "prev")])
+    word = F.coalesce(*[at(p) for p in ("previous_queries", "context.prev", "prev")])
+    previous = F.coalesce(lists, F.from_json(F.when(word.startswith("["), word), "array<string>"), F.when(F.coalesce(word, F.lit("")) != "", F.array(word)), F.array().cast("array<string>"))
+    channel, mode = F.coalesce(asked("retrieval"), F.lit("compare")), F.coalesce(asked("mode"), at("generate_mode"), F.lit("summarize"))
+    widths = {k: F.nullif(asked(k), F.lit("")) for k in ("retrieval_count", "ranking_count")}
+    refused = [(v.isNull(), F.lit("the body is no JSON")), (~channel.isin(*CHANNELS), F.lit("retrieval must be vector, bm25, or compare")), (~mode.isin(*MODES), F.concat(F.lit("unknown mode "), mode))]
+    for k, w in widths.items():
+        whole = w.try_cast("int")
+        refused += [(w.isNotNull() & whole.isNull(), F.lit(f"{k} must be an integer")), (whole < 1, F.lit(f"{k} must be at least 1"))]
+    number = lambda name, default: F.coalesce(asked(name).try_cast("int"), F.lit(default).cast("int"))
+    error = F.coalesce(*[F.when(c, why) for c, why in refused])
+    return bodies.select(
+        "query_id", question.alias("question"), F.when(~site.isin("", "all"), site).alias("site"), mode.alias("mode"), previous.alias("previous"), channel.alias("retrieval"), number("max_results", defaults.results).alias("max_results"), number("min_score", defaults.least).alias("min_score"),
+        *[w.try_cast("int").alias(k) for k, w in widths.items()], F.coalesce(asked("include_excluded").try_cast("boolean"), F.lit(False)).alias("include_excluded"), error.alias("error"),
+    )
+
+
 def valid(requests: DataFrame) -> Column:
     return F.trim(F.coalesce("question", F.lit(""))) != ""
 
