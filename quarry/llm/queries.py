@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, line_dedup, pii, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts, warc
+from quarry.llm import decontamination, importance, line_dedup, pii, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts, token_files, warc, whitening
 from quarry.sources.tables import scratch
 
 #: A key of the pseudonyms for tests; a deployment passes its own.
@@ -142,6 +142,65 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Components of the whitening query.
+COMPONENTS = 8
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    k = min(COMPONENTS, len(model.sums))
+    share = F.array(*[F.lit(float(v)) for v in model.explained[:k]])
+    rows = whitening.transform(vectors, model, components=COMPONENTS)
+    each = rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        (F.get(share, "at") if k else F.lit(0.0)).alias("explained"),
+        F.lit(whitening.identity_error(vectors, model, components=COMPONENTS)).alias("identity_error"),
+    )
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 of a word's UTF-8, byte by byte through the table of the reversed polynomial 0xEDB88320.
+OP12_SQL = f"""
+WITH crc AS (
+  SELECT list(list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v) ORDER BY v) AS steps FROM (SELECT unnest(range(0, 256)) AS v)
+), dw AS (SELECT doc_id, {WORDS} AS w FROM documents), iw AS (SELECT {WORDS} AS w FROM benchmark),
+  counted AS (SELECT word, sum(s) AS s, sum(t) AS t FROM (SELECT unnest(w) AS word, 1 AS s, 0 AS t FROM dw UNION ALL SELECT unnest(w), 0, 1 FROM iw) GROUP BY word),
+  hexed AS (SELECT word, s, t, hex(encode(word)) AS h FROM counted),
+  hashed AS (
+    SELECT word, s, t, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1),
+      lambda c, b: xor(crc.steps[xor(c & 255, b) + 1], c >> 8), 4294967295), 4294967295) % {importance.BUCKETS} AS bucket
+    FROM hexed, crc
+  ), sums AS (SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket), totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+  gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + {importance.BUCKETS}))::DOUBLE / ((s + 1) * (t_all + {importance.BUCKETS}))::DOUBLE))::BIGINT AS gain FROM sums, totals),
+  by_word AS (SELECT word, gain FROM hashed JOIN gains USING (bucket)),
+  weights AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS word FROM dw) JOIN by_word USING (word) GROUP BY doc_id),
+  scored AS (
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+      (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score
+    FROM dw LEFT JOIN weights USING (doc_id)
+  ), placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= {importance.MIN_WORDS}),
+  drawn AS (SELECT ({importance.PERCENT} * count(*)) // 100 AS k FROM placed)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id), drawn
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_files.read_tokens(spark, folder, with_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -153,5 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_secret_scan": op9_secret_scan,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_whitening": op11_whitening,
+    "op12_importance": op12_importance,
+    "op13_token_files": op13_token_files,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL, "op12_importance": OP12_SQL}
