@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,9 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     for w in set(widths):
         own = [i for i in range(rows) if widths[i] == w]
         some = rest[own]
-        bits = (some[:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(own), n * w)
-        packed = np.packbits(bits, axis=1, bitorder="little")
+        kind = np.dtype("<u2" if w <= 16 else "<u4")
+        bits = np.unpackbits(some.astype(kind).view(np.uint8), axis=1, bitorder="little").reshape(len(own), n, 8 * kind.itemsize)[:, :, :w]
+        packed = np.packbits(bits.reshape(len(own), n * w), axis=1, bitorder="little")
         wide = some.astype(np.uint64) >> np.uint64(w) != 0
         for k, i in enumerate(own):
             at = np.flatnonzero(wide[k])
@@ -176,8 +179,17 @@ class TokenFile:
             yield i, begin, np.concatenate(parts) if len(parts) > 1 else held[begin - low : end - low]
 
 
-#: Words that a worker remembers with their ids, and the longest that it does.
-MEMO_WORDS, MEMO_CHARS = 1 << 19, 48
+#: Words that a worker remembers with their ids (twice, the last and those before), the longest that it does, and other runs.
+MEMO_WORDS, MEMO_CHARS, MEMO_RUNS = 1 << 19, 48, 1 << 16
+#: Words of Latin letters, ASCII digits, ASCII signs (but for the apostrophe, which may begin an ending) and line ends fall into runs of each kind.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(f"[{_LETTERS}0-9{_SIGNS}\n]+")
+_WIDE = re.compile(r" (?:\s|\Z)")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n")
+
+#: The character by which byte-level vocabularies write a byte: itself where Latin-1 prints it, else the next free one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = dict(zip((b for b in range(256) if b not in _PRINTED), map(chr, range(256, 512))))
 
 
 class TextEncoder:
@@ -203,11 +215,16 @@ class TextEncoder:
             and model.get("type") == "BPE" and not model.get("dropout")
             and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in added)
         )
-        self.end_id = end_id
+        self.end_id, self.model = end_id, self.tokenizer.model
+        self.words: dict[str, int] = {}
+        self.runs: dict[str, Sequence[int]] = {}
+        self.ids, self.first, self.size = array("I"), array("q"), array("q")
         self._reset()
 
     def _reset(self) -> None:
-        self.memo = _Words(self)
+        """Begin anew; what is remembered stays at hand until the next time, so that frequent words aren't asked again."""
+        self.old, self.old_ids, self.old_first, self.old_size = self.words, self.ids, self.first, self.size
+        self.words, self.runs = _Words(self), {}
         self.ids, self.first, self.size = array("I", [self.end_id]), array("q", [0]), array("q", [1])
 
     def _place(self, ids: Sequence[int]) -> int:
@@ -217,21 +234,47 @@ class TextEncoder:
         self.ids.extend(ids)
         return len(self.first) - 1
 
-    def _encoded(self, text: str) -> list[int]:
-        """What the library makes of a text or word."""
-        if text.isascii() and text[1:].isalpha() and text[0] == " ":
-            return [t.id for t in self.tokenizer.model.tokenize("Ġ" + text[1:])]  # the byte-level sign of a space
+    def _kept(self, at: int) -> Sequence[int]:
+        return self.ids[self.first[at] : self.first[at] + self.size[at]]
+
+    def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _words(self, text: str) -> list[int]:
+    def _run(self, run: str) -> Sequence[int]:
+        """The ids of a run of one kind of characters, as the library's model takes it: in byte-level signs."""
+        return [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+
+    def _word(self, word: str) -> Sequence[int]:
+        """The ids of a word after a space."""
+        if word.isalpha() and word.isascii():
+            return [t.id for t in self.model.tokenize("Ġ" + word)]
+        if not _SIMPLE.fullmatch(word) or "\n\n" in word:
+            return self._whole(" " + word)
+        first, *others = _RUNS.findall(word)
+        if not others:
+            return self._run(" " + word)
+        out = [*self._kept(self.words[first])]
+        for run in others:
+            ids = self.runs.get(run)
+            if ids is None:
+                ids = self._run(run)
+                if len(self.runs) < MEMO_RUNS and len(run) <= MEMO_CHARS:
+                    self.runs[run] = ids
+            out += ids
+        return out
+
+    def _numbers(self, text: str) -> list[int]:
         """Numbers of the ids of a text's parts, and 0 for its end."""
         if not text:
             return [0]
         if not self.cuts:
-            return [self._place(self._encoded(text)), 0]
+            return [self._place(self._whole(text)), 0]
         parts = split_text(text)
-        out = [self._place(self._encoded(parts[0]))] if parts[0] else []
-        out += map(self.memo.__getitem__, parts[1:])
+        out = [self._place(self._whole(parts[0]))] if parts[0] else []
+        if any(x in text for x in self.special):
+            out += [self._place(self._whole(" " + p)) if any(x in p for x in self.special) else self.words[p] for p in parts[1:]]
+        else:
+            out += map(self.words.__getitem__, parts[1:])
         out.append(0)
         return out
 
@@ -239,9 +282,9 @@ class TextEncoder:
         """The ids of all texts in a row, and the number of each, ends included."""
         if len(self.first) > MEMO_WORDS:
             self._reset()
-        got = [self._words(t or "") for t in texts]
+        got = [self._numbers(t or "") for t in texts]
         counts = np.fromiter(map(len, got), np.int64, len(got))
-        words = np.fromiter((w for g in got for w in g), np.int64, int(counts.sum()))
+        words = np.fromiter(chain.from_iterable(got), np.int64, int(counts.sum()))
         ids, first, size = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.first, np.int64), np.frombuffer(self.size, np.int64)
         sizes = size[words]
         ends = np.cumsum(sizes)
@@ -251,12 +294,16 @@ class TextEncoder:
 
 
 class _Words(dict):
+    """Numbers of words' ids."""
+
     def __init__(self, encoder: TextEncoder) -> None:
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, word: str) -> int:
-        at = self.encoder._place(self.encoder._encoded(" " + word))
+        e = self.encoder
+        at = e.old.get(word)
+        at = e._place(e._word(word) if at is None else e.old_ids[e.old_first[at] : e.old_first[at] + e.old_size[at]])
         if len(word) <= MEMO_CHARS:
             self[word] = at
         return at
@@ -265,7 +312,7 @@ class _Words(dict):
 def split_text(text: str) -> list[str]:
     """Cut before every space that something other than white space follows; the space goes, the first part has none."""
     parts = text.split(" ")
-    if "  " not in text and text[-1] != " " and not any(p[0].isspace() for p in parts[1:]):
+    if not _WIDE.search(text):
         return parts
     out = [parts[0]]
     for p in parts[1:]:
@@ -294,8 +341,15 @@ def table_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer_file: str, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, block: int = BLOCK_IDS,
-    percentile: float = PERCENTILE, roll: int = ROLL_IDS,
+    docs: DataFrame,
+    folder: str,
+    tokenizer_file: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    end_id: int = END_ID,
+    block: int = BLOCK_IDS,
+    percentile: float = PERCENTILE,
+    roll: int = ROLL_IDS,
     shard_bytes: tuple[int, int] = SHARD_BYTES,
 ) -> DataFrame:
     """Write the ids of all ``docs``, in ascending order of their ids, into files in ``folder`` (a URI that all executors reach); returns the manifest.
