@@ -1,12 +1,17 @@
-"""Helpers shared by the training-data operators: fresh column names, Arrow input, memory."""
+"""Helpers shared by the training-data operators: fresh column names, Arrow input, memory, states merged up a tree."""
 
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.sources.tables import materialise
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -62,3 +67,35 @@ def pieces(values: Iterable, n: int) -> Iterator[list]:
             part = []
     if part:
         yield part
+
+
+#: A task's state, as a row of doubles, and how many of them one task of the merging tree takes.
+STATE, FAN_IN = "task long, state array<double>", 16
+STATES = pa.schema([("task", pa.int64()), ("state", pa.list_(pa.float64()))])
+
+
+def state_of(state: np.ndarray) -> pa.RecordBatch:
+    """This task's row of STATE."""
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([state.ravel()], pa.list_(pa.float64()))], schema=STATES)
+
+
+def merged(states: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """Merge states up a tree of FAN_IN branches, each node in a task; the driver gets the root alone."""
+    states = materialise(states, "states")
+    top = states.agg(F.max("task")).first()[0]
+    if top is None:
+        return None
+
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by("task")
+        out = None
+        for s in group.column("state"):
+            s = s.values.to_numpy(zero_copy_only=False)
+            out = s if out is None else merge(out, s).ravel()
+        return pa.Table.from_arrays([pa.array([group.column("node")[0].as_py()]), pa.array([out], pa.list_(pa.float64()))], schema=STATES)
+
+    while top:
+        top //= FAN_IN
+        nodes = states.withColumn("node", F.floor(F.col("task") / FAN_IN))
+        states = nodes.groupBy("node").applyInArrow(join, STATE)
+    return np.array(states.first().state)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, bound_batches, fresh, release
+from quarry.llm.common import STATE, as_bytes, bound_batches, fresh, merged, release, state_of
 from quarry.sources.tables import materialise
 
 #: Buckets of features, and words of a feature at most.
@@ -87,7 +87,7 @@ def collapsed(df: DataFrame, text: str, buckets: int = BUCKETS, run: int = RUN)
 
 
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Features by bucket, each text counted as often as it is there.  A task sends its buckets once; the driver gets one row for each."""
+    """Features by bucket, each text counted as often as it is there.  A task has one array of counts; arrays are added up a tree."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -99,14 +99,12 @@ def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
                 else:
                     np.add.at(total, own, copies)
         release()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+        if total.any():
+            yield state_of(total.astype(np.float64))  # exact up to 2^53
 
     bound_batches(features.sparkSession)
-    out = np.zeros(buckets, np.int64)
-    for b, n in features.select("features", "copies").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[b] = n
-    return out
+    total = merged(features.select("features", "copies").mapInArrow(count, STATE), np.add)
+    return np.zeros(buckets, np.int64) if total is None else total.astype(np.int64)
 
 
 def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:

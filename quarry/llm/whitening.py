@@ -13,19 +13,16 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches
+from quarry.llm.common import STATE, bound_batches, merged, state_of
 from quarry.sources.tables import materialise
 
 #: The grid: an entry c becomes floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 1024, 100_000
 #: Entries beyond this (either sign) count as this: all integers up to it are doubles.
 LARGEST = 1 << 53
-#: States that one task of the merging tree takes.
-FAN_IN = 16
 #: Rows of a block that is decomposed at once.
 BLOCK_ROWS = 4096
 #: Directions with less than this share of the largest singular value have no variance but rounding.
@@ -138,10 +135,6 @@ def exact_sums(rows: DataFrame, vector: str) -> tuple[int, tuple[int, ...]]:
     return best.n, tuple(int(r.s) for r in sorted(got, key=lambda r: r.place))
 
 
-STATE = "task long, state array<double>"
-STATES = pa.schema([("task", pa.int64()), ("state", pa.list_(pa.float64()))])
-
-
 def folded(rows: DataFrame, vector: str, step: Callable[[np.ndarray | None, np.ndarray], np.ndarray]) -> DataFrame:
     """One state for each task that has rows: ``step`` folds blocks of grid rows into it."""
 
@@ -151,33 +144,11 @@ def folded(rows: DataFrame, vector: str, step: Callable[[np.ndarray | None, np.n
             if len(x):
                 state = step(state, x)
         if state is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([state.ravel()], pa.list_(pa.float64()))], schema=STATES)
+            yield state_of(state)
 
     return rows.select(F.col(vector).cast("array<double>")).mapInArrow(fold, STATE)
 
 
-def merged(states: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """Merge states up a tree of FAN_IN branches, each node in a task; the driver gets the root alone."""
-    states = materialise(states, "states")
-    top = states.agg(F.max("task")).first()[0]
-    if top is None:
-        return None
-
-    def join(group: pa.Table) -> pa.Table:
-        group = group.sort_by("task")
-        out = None
-        for s in group.column("state"):
-            s = s.values.to_numpy(zero_copy_only=False)
-            out = s if out is None else merge(out, s).ravel()
-        return pa.Table.from_arrays([pa.array([group.column("node")[0].as_py()]), pa.array([out], pa.list_(pa.float64()))], schema=STATES)
-
-    while top:
-        top //= FAN_IN
-        nodes = states.withColumn("node", F.floor(F.col("task") / FAN_IN))
-        states = nodes.groupBy("node").applyInArrow(join, STATE)
-    return np.array(states.first().state)
-
-
 def triangle(rows: np.ndarray) -> np.ndarray:
     """R of some rows, d x d: with zero rows below where there are fewer rows than columns."""
     r = np.linalg.qr(rows, mode="r")
