@@ -531,9 +531,3 @@ def predicate_keys(spark, sf):
 def predicate_keys_builder(spark, sf):
     """The builder's flavour: subjects with spaces, two keys unknown, nothing avoided."""
     return predicates.judged_pairs(typed_items(spark, sf), KEY_SPECS, "k", "builder")
-
-
-@query("SELECT * FROM (VALUES ('repo', 'known-item'), ('task', 'descriptive')) v(id, category)")
-def query_categories(spark, sf):
-    specs = [s for s in KEY_SPECS if s["id"] in ("repo", "task")]
-    return spark.createDataFrame([(s["id"], predicates.category(s)) for s in specs], "id string, category string")

@@ -280,11 +280,11 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.strip_markup(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, max(turn) + 1 AS next_seq, left(arg_min(text, turn) FILTER (role = 'user'), 72) AS title, sum(strlen(text))::BIGINT AS bytes
-FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, count(*) AS turns, max(turn) + 1 AS next_seq, CASE WHEN length(q) > 72 THEN left(q, 71) || '…' ELSE q END AS title, sum(strlen(text))::BIGINT AS bytes
+FROM conversations LEFT JOIN (SELECT conv_id, trim(regexp_replace(arg_min(text, turn), '\\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user' GROUP BY 1) USING (conv_id) GROUP BY conv_id, q""")
 def thread_listing(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") + 1).alias("next_seq"), F.substring(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))), 1, 72).alias("title"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), (F.max("turn") + 1).alias("next_seq"), X.thread_title(F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))).alias("title"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
 @query("""SELECT conv_id, array_to_string(list(text ORDER BY turn), chr(10)) AS previous FROM (
@@ -294,12 +294,6 @@ def last5_user_turns(spark, sf):
     return limits.event_sequence(users.withColumn("back", -F.col("turn")), "conv_id", ["back"]).filter("sequence <= 5").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("previous"))
 
 
-@query("""SELECT conv_id, left(lower(array_to_string(list(text ORDER BY turn), ' ')), 4000) AS digest, contains(lower(array_to_string(list(text ORDER BY turn), ' ')), 'the') AS found FROM conversations GROUP BY 1""")
-def thread_digest(spark, sf):
-    joined = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " "))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.substring(joined, 1, 4000).alias("digest"), F.contains(joined, F.lit("the")).alias("found"))
-
-
 @query("SELECT count(DISTINCT conv_id) AS threads, count(*) AS turns, sum(strlen(text))::BIGINT AS bytes FROM conversations")
 def storage_usage(spark, sf):
     return table(spark, sf, "conversations").agg(F.countDistinct("conv_id").alias("threads"), F.count("*").alias("turns"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
@@ -380,18 +374,42 @@ def capped_top(spark, sf):
     return selection.capped_top(scored(spark, sf), ["stratum"], ["author"], 3, 40).select("repo_id", "stratum", "author", "of_cap", "position")
 
 
-@query()
+STRATA = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(f"""WITH RECURSIVE {SCORE_SQL}, e AS (
+    SELECT lpad(repo_id::VARCHAR, 8, '0') AS repo_id, stratum, author, author || '-' || (repo_id % 9) AS family, score, non_english::INT + small_model::INT + rare_publisher::INT AS rarity, repo_id % 13 = 0 AS mirror FROM s
+  ), k AS (SELECT stratum, row_number() OVER (ORDER BY stratum) AS k FROM (SELECT DISTINCT stratum FROM e)),
+  visits AS (SELECT *, row_number() OVER (ORDER BY stage, first, score DESC, repo_id) AS turn FROM (
+    SELECT 2 * k AS stage, 0 AS first, * FROM e JOIN k USING (stratum) WHERE NOT mirror UNION ALL SELECT 2 * k + 1, -rarity, * FROM e JOIN k USING (stratum) WHERE NOT mirror UNION ALL SELECT 99, 0, * FROM e JOIN k USING (stratum) WHERE NOT mirror)),
+  walk AS (
+    SELECT 0::BIGINT AS pos, 0::BIGINT AS stage, 0::BIGINT AS n, []::VARCHAR[] AS ids, []::VARCHAR[] AS authors, []::VARCHAR[] AS families, []::VARCHAR[] AS strata, NULL::VARCHAR AS got, NULL::VARCHAR AS reason
+    UNION ALL
+    SELECT turn, stage, n + ok::INT, CASE WHEN ok THEN list_append(ids, repo_id) ELSE ids END, CASE WHEN ok THEN list_append(authors, author) ELSE authors END, CASE WHEN ok THEN list_append(families, family) ELSE families END,
+      CASE WHEN ok THEN list_append(strata, stratum) ELSE strata END, CASE WHEN ok THEN repo_id END, CASE WHEN stage = 99 OR stage % 2 = 1 AND rarity > 0 THEN 'included_diversity' ELSE 'included_ranked' END
+    FROM (SELECT *, NOT list_contains(ids, repo_id) AND len(list_filter(authors, lambda x: x = author)) < 10 AND len(list_filter(families, lambda x: x = family)) < 4
+        AND CASE WHEN stage = 99 THEN len(ids) < 100 WHEN stage % 2 = 1 THEN len(list_filter(strata, lambda x: x = stratum)) < 20 ELSE n < 17 END AS ok
+      FROM (SELECT v.*, CASE WHEN w.stage = v.stage THEN w.n ELSE 0 END AS n, w.ids, w.authors, w.families, w.strata FROM walk w JOIN visits v ON v.turn = w.pos + 1)))
+SELECT e.repo_id, e.stratum, CASE WHEN mirror THEN 'suppressed' WHEN got IS NULL THEN 'excluded' ELSE 'included' END AS decision, CASE WHEN mirror THEN 'suppressed_variant' ELSE coalesce(reason, 'excluded_over_quota') END AS reason
+FROM e LEFT JOIN (SELECT got, reason FROM walk WHERE got IS NOT NULL) ON e.repo_id = got""")
 def greedy_selection(spark, sf):
-    """Sequential under two caps: checked by brute force in the tests."""
+    """Selection under two caps that hold over eleven walks; the SQL takes row after row."""
     c = scored(spark, sf).withColumns({"repo_id": F.lpad(F.col("repo_id").cast("string"), 8, "0"), "private": F.lit(False), "disabled": F.lit(False), "gated": F.lit("auto")})
     c = c.withColumn("family_key", F.concat("author", F.lit("-"), (F.col("repo_id").cast("long") % 9).cast("string")))
-    strata = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return selection.select(c, selection.scaled_quotas(dict.fromkeys(strata, 100), 100), 100)
-
-
-@query()
+    return selection.select(c, selection.scaled_quotas(dict.fromkeys(STRATA, 100), 100), 100).select("repo_id", "stratum", "decision", "reason")
+
+
+@query("""WITH RECURSIVE o AS (SELECT p_name AS repo_id, list_sort(list(DISTINCT p_brand)) AS options FROM part WHERE regexp_matches(p_brand, '^Brand#[1-5][1-5]$') GROUP BY p_name), alone AS (SELECT repo_id, options[1] AS stratum FROM o WHERE len(options) = 1),
+  shared AS (SELECT *, row_number() OVER (ORDER BY repo_id) AS turn FROM o WHERE len(options) > 1),
+  start AS (SELECT coalesce(list(stratum), []) AS strata FROM alone),
+  walk AS (
+    SELECT 0::BIGINT AS pos, NULL::VARCHAR AS repo_id, NULL::VARCHAR AS stratum, list_transform(range(0, 25), lambda i: len(list_filter(strata, lambda x: x = 'Brand#' || (i // 5 + 1) || (i % 5 + 1)))) AS filled FROM start
+    UNION ALL
+    SELECT turn, repo_id, stratum, list_transform(range(0, 25), lambda i: filled[i + 1] + ('Brand#' || (i // 5 + 1) || (i % 5 + 1) = stratum)::INT)
+    FROM (SELECT s.turn, s.repo_id, filled, list_sort(list_transform(s.options, lambda x: {'fill': filled[(substr(x, 7, 1)::INT - 1) * 5 + substr(x, 8, 1)::INT]::DOUBLE / substr(x, 7, 2)::INT, 's': x}))[1].s AS stratum FROM walk w JOIN shared s ON s.turn = w.pos + 1))
+SELECT repo_id, stratum FROM alone UNION ALL SELECT repo_id, stratum FROM walk WHERE repo_id IS NOT NULL""")
 def stratum_assignment(spark, sf):
-    """Sequential: checked by brute force in the tests."""
+    """Each repository goes to the stratum of its own that is furthest from its quota; the SQL takes row after row."""
     p = table(spark, sf, "part").groupBy("p_name").agg(F.collect_set(F.concat("p_brand", F.lit(":q"))).alias("found_by")).withColumnRenamed("p_name", "repo_id")
     return selection.assign_strata(p, {f"Brand#{i}{j}": 10 * i + j for i in range(1, 6) for j in range(1, 6)})
 

@@ -373,29 +373,56 @@ def json_pages(spark, sf):
     return p.select("page_id", F.to_json(base).alias("js"))
 
 
-@query("""SELECT CASE WHEN page_id % 4 = 0 THEN 'urn:quarry:lines:' || row_number() OVER (ORDER BY page_id) ELSE 'p' || page_id END AS id, CASE WHEN page_id % 4 = 0 THEN 'urn:quarry:lines:' || row_number() OVER (ORDER BY page_id) ELSE 'p' || page_id END AS url,
-  CASE page_id % 4 WHEN 2 THEN 'p' || page_id ELSE 'Name ' || page_id END AS name, 'lines' AS site FROM pages""")
+#: Items of a file that executors write.
+PER_FILE = 200
+
+
+def written(spark, label, rows, line, before="", after=""):
+    """Files of the lines of ``rows`` by page id, PER_FILE ids each, in order; each begins and ends with the given text.  A folder's name has its file's number."""
+    path = folder(spark, label)
+    file = F.floor(F.col("page_id") / PER_FILE).cast("long")
+    lines = rows.select(file.alias("file"), F.col("page_id").alias("at"), line.alias("value"))
+    frames = [lines]
+    for text, at in ((before, -1), (after, None)):
+        if text:
+            end = F.lit(at).cast("long") if at is not None else F.lit((1 << 63) - 1)
+            frames.append(lines.select("file").distinct().select("file", end.alias("at"), F.lit(text).alias("value")))
+    whole = tables.united(*frames).repartition("file").sortWithinPartitions("file", "at")
+    whole.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def site_of(name):
+    """The site of a file of ``written``."""
+    return F.concat(F.lit(name), F.regexp_extract(F.col("_metadata.file_path"), r"file=(-?\d+)", 1))
+
+
+@query(f"""WITH n AS (SELECT page_id, 'lines' || (page_id // {PER_FILE}) AS site, row_number() OVER (PARTITION BY page_id // {PER_FILE} ORDER BY page_id) AS n FROM pages), u AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN 'urn:quarry:' || site || ':' || n ELSE 'p' || page_id END AS url FROM n)
+SELECT url AS id, url, CASE page_id % 4 WHEN 2 THEN 'p' || page_id ELSE 'Name ' || page_id END AS name, site FROM u""")
 def json_line_documents(spark, sf):
     """Documents of JSON lines: addresses, names and sites with their fallbacks."""
-    path = f"{folder(spark, 'lines')}/lines.jsonl"
-    lines = [r.js for r in json_pages(spark, sf).orderBy("page_id").toLocalIterator()]  # one file, as a source is
-    tables.write_small(spark, path, "\n".join(lines) + "\n\n")
-    return readers.read_json_documents(spark, path, lines=True).select("id", "url", "name", "site")
+    path = written(spark, "lines", json_pages(spark, sf), F.concat("js", F.lit("\n")))
+    return readers.read_json_documents(spark, path, lines=True, site=site_of("lines")).select("id", "url", "name", "site")
 
 
 FEED = """SELECT page_id, 'p' || CAST(page_id AS STRING) AS name, CASE WHEN page_id % 3 > 0 THEN 'https://e/' || CAST(page_id AS STRING) ELSE '' END AS link, CASE WHEN page_id % 2 = 0 THEN 'g' || CAST(page_id AS STRING) ELSE '' END AS guid, CAST(page_id % 120 AS STRING) || ':05' AS clock FROM {pages}"""
 
 
-@query(f"""WITH f AS ({duck(FEED)}), n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n_ FROM f), u AS (SELECT *, CASE WHEN link <> '' THEN link ELSE 'urn:quarry:show:episode:' || n_ END AS url FROM n)
-SELECT CASE WHEN guid <> '' THEN guid ELSE url END AS id, url, name, 'show' AS site, 'About & ' || name AS description, 'PT' || CASE WHEN page_id % 120 >= 60 THEN (page_id % 120 // 60) || 'H' ELSE '' END || CASE WHEN page_id % 60 > 0 THEN (page_id % 60) || 'M' ELSE '' END || '5S' AS duration, 'The Show' AS series FROM u""".replace("'PT' || CASE WHEN page_id % 120 >= 60 THEN (page_id % 120 // 60) || 'H' ELSE '' END || CASE WHEN page_id % 60 > 0 THEN (page_id % 60) || 'M' ELSE '' END || '5S'", "'PT' || CASE WHEN page_id % 120 > 0 THEN CASE WHEN page_id % 120 >= 60 THEN '1H' ELSE '' END || CASE WHEN page_id % 60 > 0 THEN (page_id % 60) || 'M' ELSE '' END ELSE '' END || '5S'"))
+@query(f"""WITH f AS ({duck(FEED)}), n AS (SELECT *, row_number() OVER (PARTITION BY page_id // {PER_FILE} ORDER BY page_id) AS n_, page_id // {PER_FILE} AS file FROM f), u AS (SELECT *, CASE WHEN link <> '' THEN link ELSE 'urn:quarry:show' || file || ':episode:' || n_ END AS url FROM n)
+SELECT CASE WHEN guid <> '' THEN guid ELSE url END AS id, url, name, 'show' || file AS site, 'About & ' || name AS description, 'PT' || CASE WHEN page_id % 120 >= 60 THEN (page_id % 120 // 60) || 'H' ELSE '' END || CASE WHEN page_id % 60 > 0 THEN (page_id % 60) || 'M' ELSE '' END || '5S' AS duration, 'The Show' AS series FROM u""".replace("'PT' || CASE WHEN page_id % 120 >= 60 THEN (page_id % 120 // 60) || 'H' ELSE '' END || CASE WHEN page_id % 60 > 0 THEN (page_id % 60) || 'M' ELSE '' END || '5S'", "'PT' || CASE WHEN page_id % 120 > 0 THEN CASE WHEN page_id % 120 >= 60 THEN '1H' ELSE '' END || CASE WHEN page_id % 60 > 0 THEN (page_id % 60) || 'M' ELSE '' END ELSE '' END || '5S'"))
 def rss_episodes(spark, sf):
-    """Episodes of an RSS feed: ids, addresses, durations, the series."""
-    rows = shared(spark, sf, FEED).orderBy("page_id").toLocalIterator()  # one file, as a feed is
-    entry = "<item><title>{n}</title>{l}{g}<description>About &amp;amp; &lt;b&gt;{n}&lt;/b&gt;</description><itunes:duration xmlns:itunes='i'>{c}</itunes:duration></item>"
-    body = "".join(entry.format(n=r.name, l=f"<link>{r.link}</link>" if r.link else "", g=f"<guid>{r.guid}</guid>" if r.guid else "", c=r.clock) for r in rows)
-    path = f"{folder(spark, 'rss')}/show.rss"
-    tables.write_small(spark, path, f"<rss><channel><title>The Show</title><link>https://s</link>{body}</channel></rss>")
-    return told(readers.read_xml_documents(spark, path), "description", "duration", series="$.partOfSeries.name")
+    """Episodes of RSS feeds: ids, addresses, durations, the series."""
+    item = F.concat(
+        F.lit("<item><title>"), "name", F.lit("</title>"), tagged("link"), tagged("guid"), F.lit("<description>About &amp;amp; &lt;b&gt;"), "name", F.lit("&lt;/b&gt;</description><itunes:duration xmlns:itunes='i'>"), "clock", F.lit("</itunes:duration></item>")
+    )
+    path = written(spark, "rss", shared(spark, sf, FEED), item, "<rss><channel><title>The Show</title><link>https://s</link>", "</channel></rss>")
+    return told(readers.read_xml_documents(spark, path, site_of("show")), "description", "duration", series="$.partOfSeries.name")
+
+
+def tagged(column, name=None):
+    """An element of a column's text; nothing where it is empty."""
+    name = name or column
+    return F.when(F.col(column) != "", F.concat(F.lit(f"<{name}>"), column, F.lit(f"</{name}>"))).otherwise("")
 
 
 def told(docs, *members, **paths):
@@ -403,38 +430,32 @@ def told(docs, *members, **paths):
     return docs.select("id", "url", "name", "site", *[F.try_variant_get(v, f"$.{m}", "string").alias(m) for m in members], *[F.try_variant_get(v, p, "string").alias(k) for k, p in paths.items()])
 
 
-@query(f"""WITH f AS ({duck(FEED)}), n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n_ FROM f), u AS (SELECT *, CASE WHEN guid <> '' THEN guid WHEN link <> '' THEN link ELSE 'urn:quarry:blog:' || n_ END AS id FROM n)
-SELECT id, CASE WHEN link <> '' THEN link ELSE id END AS url, name, 'blog' AS site, 'About ' || name AS description, '2024-01-01' AS "datePublished", 'The Blog' AS series FROM u""")
+@query(f"""WITH f AS ({duck(FEED)}), n AS (SELECT *, row_number() OVER (PARTITION BY page_id // {PER_FILE} ORDER BY page_id) AS n_, page_id // {PER_FILE} AS file FROM f), u AS (SELECT *, CASE WHEN guid <> '' THEN guid WHEN link <> '' THEN link ELSE 'urn:quarry:blog' || file || ':' || n_ END AS id FROM n)
+SELECT id, CASE WHEN link <> '' THEN link ELSE id END AS url, name, 'blog' || file AS site, 'About ' || name AS description, '2024-01-01' AS "datePublished", 'The Blog' AS series FROM u""")
 def atom_entries(spark, sf):
-    """Entries of an Atom feed."""
-    rows = shared(spark, sf, FEED).orderBy("page_id").toLocalIterator()
-    entry = "<entry>{g}<title>{n}</title>{l}<summary>About {n}</summary><updated>2024-01-01</updated></entry>"
-    body = "".join(entry.format(n=r.name, l=f"<link href='{r.link}'/>" if r.link else "", g=f"<id>{r.guid}</id>" if r.guid else "") for r in rows)
-    path = f"{folder(spark, 'atom')}/blog.atom"
-    tables.write_small(spark, path, f"<feed xmlns='http://www.w3.org/2005/Atom'><title>The Blog</title>{body}</feed>")
-    return told(readers.read_xml_documents(spark, path), "description", "datePublished", series="$.isPartOf.name")
+    """Entries of Atom feeds."""
+    link = F.when(F.col("link") != "", F.concat(F.lit("<link href='"), "link", F.lit("'/>"))).otherwise("")
+    entry = F.concat(F.lit("<entry>"), tagged("guid", "id"), F.lit("<title>"), "name", F.lit("</title>"), link, F.lit("<summary>About "), "name", F.lit("</summary><updated>2024-01-01</updated></entry>"))
+    path = written(spark, "atom", shared(spark, sf, FEED), entry, "<feed xmlns='http://www.w3.org/2005/Atom'><title>The Blog</title>", "</feed>")
+    return told(readers.read_xml_documents(spark, path, site_of("blog")), "description", "datePublished", series="$.isPartOf.name")
 
 
-@query(f"""WITH f AS ({duck(FEED)}), n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n_ FROM f), u AS (SELECT *, CASE WHEN link <> '' THEN link ELSE 'urn:quarry:list:' || n_ END AS url FROM n) SELECT url AS id, url, name, 'list' AS site, 'record' AS type, page_id::VARCHAR AS n, 'a|b' AS tags FROM u""")
+@query(f"""WITH f AS ({duck(FEED)}), n AS (SELECT *, row_number() OVER (PARTITION BY page_id // {PER_FILE} ORDER BY page_id) AS n_, page_id // {PER_FILE} AS file FROM f), u AS (SELECT *, CASE WHEN link <> '' THEN link ELSE 'urn:quarry:list' || file || ':' || n_ END AS url FROM n) SELECT url AS id, url, name, 'list' || file AS site, 'record' AS type, page_id::VARCHAR AS n, 'a|b' AS tags FROM u""")
 def xml_records(spark, sf):
     """Records of any XML: attributes, repeated children, fallbacks."""
-    rows = shared(spark, sf, FEED).orderBy("page_id").toLocalIterator()
-    body = "".join(f"<record n='{r.page_id}'><name>{r.name}</name>{f'<link>{r.link}</link>' if r.link else ''}<tag>a</tag><tag>b</tag></record>" for r in rows)
-    path = f"{folder(spark, 'xml')}/list.xml"
-    tables.write_small(spark, path, f"<records>{body}</records>")
-    docs = readers.read_xml_documents(spark, path)
+    record = F.concat(F.lit("<record n='"), F.col("page_id").cast("string"), F.lit("'><name>"), "name", F.lit("</name>"), tagged("link"), F.lit("<tag>a</tag><tag>b</tag></record>"))
+    docs = readers.read_xml_documents(spark, written(spark, "xml", shared(spark, sf, FEED), record, "<records>", "</records>"), site_of("list"))
     v = F.parse_json("body")
-    return told(docs, "n", type="$['@type']").join(docs.select("id", joined(F.try_variant_get(v, "$.tag", "array<string>")).alias("tags")), "id")
+    tags = joined(F.try_variant_get(v, "$.tag", "array<string>")).alias("tags")
+    return docs.select("id", "url", "name", "site", F.try_variant_get(v, "$.n", "string").alias("n"), F.try_variant_get(v, "$['@type']", "string").alias("type"), tags)
 
 
 @query("""SELECT '2401.' || lpad(page_id::VARCHAR, 5, '0') AS arxiv_id, 'Paper ' || page_id AS title, 'About it' AS abstract, 'https://arxiv.org/abs/2401.' || lpad(page_id::VARCHAR, 5, '0') AS url FROM pages WHERE page_id % 3 > 0""")
 def fetched_abstracts(spark, sf):
-    """Abstracts of an answer of arXiv; every third entry has none."""
-    rows = table(spark, sf, "pages").select("page_id").orderBy("page_id").toLocalIterator()  # one file, as an answer is
-    entry = "<entry><id>http://arxiv.org/abs/2401.{0:05}v2</id><title>Paper\n  {0}</title>{1}</entry>"
-    body = "".join(entry.format(r[0], "<summary> About\n it </summary>" if r[0] % 3 else "") for r in rows)
-    path = f"{folder(spark, 'arxiv')}/answer.xml"
-    tables.write_small(spark, path, f"<feed xmlns='http://www.w3.org/2005/Atom'>{body}<entry><id>http://x/y</id><summary>s</summary></entry></feed>")
+    """Abstracts of answers of arXiv; every third entry has none."""
+    number = F.lpad(F.col("page_id").cast("string"), 5, "0")
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), number, F.lit("v2</id><title>Paper\n  "), F.col("page_id").cast("string"), F.lit("</title>"), F.when(F.col("page_id") % 3 > 0, "<summary> About\n it </summary>").otherwise(""), F.lit("</entry>"))
+    path = written(spark, "arxiv", table(spark, sf, "pages"), entry, "<feed xmlns='http://www.w3.org/2005/Atom'>", "<entry><id>http://x/y</id><summary>s</summary></entry></feed>")
     return readers.read_abstracts(spark, path)
 
 
@@ -459,27 +480,33 @@ def leased_limiter_decisions(spark, sf):
     return limits.leased_limits(clocked, limits.Limits(per_minute=2, per_hour=60, running=3))
 
 
+def named(spark, path, top, kind):
+    """Files of ``written`` under the names that sources have, in one folder."""
+    fs, start = tables.hadoop(spark, path)
+    _, end = tables.hadoop(spark, top)
+    fs.mkdirs(end)
+    for status in fs.globStatus(tables.hadoop(spark, f"{path}/file=*/part-*")[1]):  # an entry for PER_FILE rows
+        number = status.getPath().getParent().getName().partition("=")[2]
+        fs.rename(status.getPath(), tables.hadoop(spark, f"{top}/{kind[0]}{number}.{kind[1]}")[1])
+
+
 @query("""SELECT 'p' || page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'first' ELSE CASE WHEN page_id % 2 = 0 THEN 'second' ELSE 'third' END END AS name FROM pages""")
 def first_of_each_file(spark, sf):
     """Documents of a folder of files of several kinds, and of one that goes before it: the first of each id stays."""
     top, over = folder(spark, "files"), folder(spark, "over")
-    rows = [r[0] for r in table(spark, sf, "pages").select("page_id").orderBy("page_id").toLocalIterator()]
-    item = lambda k, n: f'{{"url":"p{k}","name":"{n}"}}'
-    tables.write_small(spark, f"{top}/a.json", '{"@graph":[' + ",".join(item(k, "first") for k in rows if k % 3 == 0) + ',7]}')
-    tables.write_small(spark, f"{top}/b.jsonl", "\n".join(item(k, "shadowed") for k in rows if k % 2 == 0))
-    tables.write_small(spark, f"{over}/b.jsonl", "\n".join(item(k, "second") for k in rows if k % 2 == 0))
-    tables.write_small(spark, f"{top}/c.xml", "<all>" + "".join(f"<x><name>third</name><url>p{k}</url></x>" for k in rows) + "</all>")
+    pages = table(spark, sf, "pages").select("page_id")
+    key = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    item = lambda name: F.concat(F.lit('{"url":"'), key, F.lit(f'","name":"{name}"}}'))
+    named(spark, written(spark, "json", pages.filter("page_id % 3 = 0"), F.concat(item("first"), F.lit(",")), '{"@graph":[', "7]}"), top, ("a", "json"))
+    named(spark, written(spark, "shadowed", pages.filter("page_id % 2 = 0"), item("shadowed")), top, ("b", "jsonl"))
+    named(spark, written(spark, "second", pages.filter("page_id % 2 = 0"), item("second")), over, ("b", "jsonl"))
+    xml = F.concat(F.lit("<x><name>third</name><url>"), key, F.lit("</url></x>"))
+    named(spark, written(spark, "xml", pages, xml, "<all>", "</all>"), top, ("c", "xml"))
     tables.write_small(spark, f"{top}/.hidden.json", "[]")
     tables.write_small(spark, f"{top}/d.txt", "no source")
     return readers.read_documents(spark, top, f"{top}/absent", over).select("id", "name")
 
 
-@query("SELECT * FROM (VALUES ('a', 'models', 'https://x/a.jsonl?v=1', 'a.jsonl'), ('b', 'sources', 'https://x/feed', 'b.json'), ('c', 'sources', 'https://x/c', 'own.rss')) v(name, section, url, filename)")
-def manifest_sources(spark, sf):
-    data = {"models": {"a": {"url": "https://x/a.jsonl?v=1"}}, "sources": {"b": {"url": "https://x/feed"}, "c": {"url": "https://x/c", "filename": "own.rss"}}}
-    return spark.createDataFrame(readers.load_manifest(data), "name string, section string, url string, filename string")
-
-
 @query("SELECT 'f' || s_suppkey || '.json' AS filename FROM supplier WHERE s_suppkey % 3 > 0")
 def pruned_files(spark, sf):
     """Files that no entry of a manifest names."""

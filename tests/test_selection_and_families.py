@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import families, selection
+from quarry.operators import families, greedy, selection
 from quarry.plans.queries import QUERIES, scored
 
 
@@ -137,3 +138,51 @@ def test_resolve(spark):
     assert got["ft/Model-7B-chat"].evidence == ["declared base model base/Model-7B"] and got["base/Model-7B"].family_id == "base--model-7b"
     assert got["base/Model-7B-awq"].canonical_repo_id == "q/Model-7B-GGUF" and got["no/Thing-int4"].canonical_repo_id == "" and len(got["no/Thing-int4"].evidence) == 2
     assert {r.family_id: r.variants for r in families.variants_by_family(families.resolve(df, variants)).collect()}["base--model-7b"] == ["base/Model-7B-awq", "copy/Model-7B"]
+
+
+NARROW_SCHEMA = "repo_id string, stratum string, author string, family_key string, score double, non_english boolean, small_model boolean, rare_publisher boolean, private boolean, disabled boolean, gated string, variant_kind string"
+
+
+@pytest.mark.parametrize(("seed", "authors", "families", "caps"), [(1, 3, 40, (0.2, 2)), (2, 12, 6, (0.05, 3)), (3, 2, 3, (0.5, 50))])
+def test_rounds_take_what_the_walk_takes(spark, seed, authors, families, caps):
+    """Ties in scores, tight caps, an author with a third of all rows, null authors, strata that can't be filled."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        author = None if rng.random() < 0.1 else "hot" if rng.random() < 0.33 else f"a{rng.randrange(authors)}"
+        rows.append((f"r{i:03}", rng.choice("xxxyz"), author, f"f{rng.randrange(families)}", rng.randrange(8) / 8, *(rng.random() < 0.2 for _ in range(3)), False, False, "auto", None))
+    df = spark.createDataFrame(rows, NARROW_SCHEMA)
+    quotas, limits = {"x": 40, "y": 30, "z": 60}, {"publisher_max_fraction": caps[0], "family_max_records": caps[1], "diversity_reserve_fraction": 0.25}
+    want = plain_selection(df.collect(), quotas, 120, limits)
+    got = {r.repo_id: r.reason for r in selection.select(df.repartition(5), quotas, 120, limits).collect()}
+    assert len(got) == 400 and {k: v for k, v in got.items() if v != "excluded_over_quota"} == want
+
+
+def test_selection_of_nothing(spark):
+    none = spark.createDataFrame([], NARROW_SCHEMA)
+    assert selection.select(none, {"x": 3}, 5).collect() == []
+
+
+def test_no_task_of_a_walk_has_all_rows(spark):
+    """The number of rows of a group is limited before rows are dealt out."""
+    df = spark.range(10_000).select(F.col("id").alias("row_"), F.concat(F.lit("one"), F.col("id") % 1).alias("author"), F.lit(3).alias("room_author"), F.lit(0).alias("major_"), F.rand(1).alias("minor_"), F.col("id").cast("string").alias("repo_id"))
+    plan = greedy.first_of_groups(df.repartition(8), "author", 3)._jdf.queryExecution().executedPlan().toString()
+    shuffle = plan.index("hashpartitioning(author")
+    assert "WindowGroupLimit" in plan[shuffle:] and plan.count("WindowGroupLimit") == 2
+    taken = greedy.greedy(df.repartition(8), {"author": 3}, 2)
+    assert [r.row_ for r in taken.orderBy("minor_").collect()] == [r.row_ for r in df.orderBy("minor_").limit(2).collect()]
+
+
+def test_segments_hand_the_fill_over(spark):
+    rng = random.Random(9)
+    rows = [(f"r{i:04}", [f"{s}:q" for s in rng.sample("abcd", rng.randint(1, 3))]) for i in range(600)]
+    quotas = {"a": 5, "b": 50, "c": 100, "d": 7}
+    df = spark.createDataFrame(rows, "repo_id string, found_by array<string>").repartition(7)
+    filled = dict.fromkeys(quotas, 0)
+    want = {}
+    for k, shared in ((k, s) for s in (False, True) for k, s in [(r, s) for r in sorted(rows)] if (len(k[1]) > 1) == s):
+        best = min(sorted(x[0] for x in k[1]), key=lambda s: (filled[s] / quotas[s], s))
+        want[k[0]] = best
+        filled[best] += 1
+    for n in (50, 10_000):
+        assert {r.repo_id: r.stratum for r in selection.assign_strata(df, quotas, n).collect()} == want
