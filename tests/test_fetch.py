@@ -140,7 +140,7 @@ def test_cards(spark, server, tmp_path):
 def test_abstracts_in_batches(spark, server, tmp_path):
     base, seen, _ = server
     ids = spark.createDataFrame([(f"2401.{i:05}",) for i in range(25)] + [("none",), ("bad",), ("bad",), ("",)], "arxiv_id string")
-    run = lambda: {r.arxiv_id: r.title for r in fetch.fetch_abstracts(ids, f"file://{tmp_path}/abs", f"{base}/arxiv", FAST, batch=10).collect()}
+    run = lambda: {r.arxiv_id: r.title for r in fetch.fetch_abstracts(ids, f"file://{tmp_path}/abs", f"{base}/arxiv", fetch.Policy(base=0.01), batch=10).collect()}
     first = run()
     assert len(first) == 20 and "bad" not in first  # the third batch has no whole answer
     assert sum(seen.values()) == 3
