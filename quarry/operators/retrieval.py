@@ -7,12 +7,16 @@ are ever broadcast or collected.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.functions import text as X
@@ -153,9 +157,93 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, weights: Mapping[str,
     return united(*block_scores(vectors, queries, weights, id_col, most_queries))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, places: int = 9, **options: object) -> DataFrame:
-    """(query_id, id, score): the best k of ``vector_scores`` for each query, scores rounded before they are ranked.  Each block of queries is reduced before blocks are united."""
-    best = [top_k(s.withColumn("score", F.round("score", places)), k).drop("rank") for s in block_scores(vectors, queries, **options)]
+#: Products that a task has at a time.
+PRODUCTS = 1 << 22
+
+
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors as rows of doubles; one that is null, of another length or holds a null is zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sized = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False)
+    out = np.zeros((len(column), dims))
+    own = column.filter(sized).flatten()
+    whole = own.to_numpy(zero_copy_only=False).reshape(-1, dims) if dims else np.zeros((pc.sum(sized).as_py() or 0, 0))
+    if own.null_count:
+        whole = np.where(own.is_null().to_numpy(zero_copy_only=False).reshape(-1, dims).any(axis=1)[:, None], 0.0, whole)
+    out[sized.to_numpy(zero_copy_only=False)] = whole
+    return out
+
+
+class Best:
+    """The best k of each query so far: places, scores and rows' ids by query."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.query, self.score, self.least = np.zeros(0, np.int64), np.zeros(0), np.full(n, -np.inf)
+        self.ids: pa.Array | None = None
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        """Scores of some rows (queries by rows): those that may be among the best join, and all are cut to k again."""
+        key = np.nan_to_num(scores, nan=np.inf, posinf=np.inf, neginf=-np.inf)  # as in Spark's order, NaN is the largest
+        low = self.least
+        if scores.shape[1] > self.k:
+            low = np.maximum(low, np.partition(key, -self.k, axis=1)[:, -self.k])
+        query, row = np.nonzero(key >= low[:, None])
+        self.ids = ids.take(pa.array(row)) if self.ids is None else pa.concat_arrays([self.ids, ids.take(pa.array(row))])
+        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[query, row]])
+        tie = pc.rank(self.ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+        key = np.where(np.isnan(self.score), np.inf, self.score)
+        order = np.lexsort((tie, -key, self.query))
+        first = np.searchsorted(self.query[order], self.query[order], side="left")
+        kept = order[np.arange(len(order)) - first < self.k]
+        self.query, self.score, self.ids = self.query[kept], self.score[kept], self.ids.take(pa.array(kept))
+        full = np.bincount(self.query, minlength=len(self.least)) == self.k
+        last = np.append(self.query[1:] != self.query[:-1], True)[: len(self.query)]
+        ends = np.full(len(self.least), -np.inf)
+        ends[self.query[last]] = np.where(np.isnan(self.score), np.inf, self.score)[last]
+        self.least = np.where(full, ends, -np.inf)
+
+
+def best_of_block(vectors: DataFrame, queries: DataFrame, k: int, weights: Mapping[str, float], id_col: str, places: int) -> DataFrame:
+    """(query_id, id, score): the best k of each query in each task's rows.
+
+    A task multiplies blocks of its vectors with the matrix of all queries of the block, which is broadcast, and sends no
+    more than k rows a query, however many it reads.
+    """
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # a block has a bounded number
+    dims = max((len(q.vector) for q in asked if q.vector is not None), default=0)
+    table = np.array([q.vector if q.vector is not None and len(q.vector) == dims and None not in q.vector else [0.0] * dims for q in asked], float).reshape(len(asked), dims)
+    shared = vectors.sparkSession.sparkContext.broadcast(table)
+    fields = [(f, float(w)) for f, w in weights.items() if w]
+    id_type = vectors.schema[id_col].dataType
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_, best = shared.value, Best(len(shared.value), k)
+        rows = max(1, PRODUCTS // max(1, len(asked_)))
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(asked_) else 0, rows):
+                part = batch.slice(at, rows)
+                scores = np.zeros((len(asked_), part.num_rows))
+                for i, (_, w) in enumerate(fields, 1):
+                    scores += w * (asked_ @ matrix(part.column(i), dims).T)
+                best.add(np.round(scores, places), part.column(0))
+        if best.ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best.query), best.ids, pa.array(best.score)], names=["place", "id", "score"])
+
+    got = vectors.select(F.col(id_col).alias("id"), *[F.col(f).cast("array<double>") for f, _ in fields]).mapInArrow(multiply, T.StructType([T.StructField("place", T.LongType()), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]))
+    names = vectors.sparkSession.createDataFrame([(i, q.query_id) for i, q in enumerate(asked)], T.StructType([T.StructField("place", T.LongType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+    return got.join(F.broadcast(names), "place").select("query_id", "id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, places: int = 9, weights: Mapping[str, float] | None = None, id_col: str = "id", most_queries: int = 10_000) -> DataFrame:
+    """(query_id, id, score): the best k of ``vector_scores`` for each query, scores rounded before they are ranked, ties to the smaller id.
+
+    Every task keeps the best k of its own rows, and these are merged; blocks of queries are reduced before they are united.
+    The queries of a block have one length; a vector that is null, of another length or holds a null has a product of 0.
+    """
+    parts = weights or {"embedding": 1.0}
+    best = [top_k(best_of_block(vectors, q, k, parts, id_col, places), k).drop("rank") for q in blocks(queries.select("query_id", "vector"), most_queries)]
     return united(*best)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import naming, predicates
 from quarry.functions import text as X
 from quarry.operators import evaluation, evidence, families, reports, retrieval, selection
+from quarry.sources import tables
 from quarry.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,7 +154,7 @@ def vector_topk(spark, sf):
   SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank, 'bm25' AS channel FROM v WHERE rank <= 10
   UNION ALL SELECT query_id, id, round(score, 6), rank::INT, 'vector' FROM x WHERE rank <= 10""")
 def vector_topk_excluding(spark, sf):
-    s = vectors(spark, sf, 20)  # ten, and ten more where those are taken out
+    s = tables.materialise(vectors(spark, sf, 20), "nearest")  # ten, and ten more where those are taken out; read twice
     return retrieval.compare(s, s, 10).withColumn("score", F.round("score", 6)).select("query_id", "id", "score", "rank", "channel")
 
 

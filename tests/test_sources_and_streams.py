@@ -184,6 +184,18 @@ def test_more_queries_than_a_block(spark, tiny):
     assert rows[0] == rows[1] == sorted(tuple(r)[:3] for r in retrieval.top_k(whole, 10).collect()) and len(rows[0]) == 10 * asked.count()
 
 
+def test_blocked_products_keep_ties_nulls_and_fields(spark):
+    rng = random.Random(2)
+    some = lambda: None if rng.random() < 0.1 else [float(rng.randrange(3)), None] if rng.random() < 0.1 else [1.0] if rng.random() < 0.1 else [float(rng.randrange(3)), float(rng.randrange(3))]
+    for ids in ("string", "long"):
+        v = spark.createDataFrame([(None if i == 5 else str(i) if ids == "string" else i, some(), some()) for i in range(200)], f"id {ids}, name array<double>, body array<float>").repartition(5)
+        q = spark.createDataFrame([(f"q{i}", None if i == 3 else [float(i % 3), 1.0]) for i in range(7)], "query_id string, vector array<double>")
+        weights = {"name": 3.0, "body": 1.0, "none": 0.0}
+        want = retrieval.top_k(retrieval.vector_scores(v, q, weights).withColumn("score", F.round("score", 9)), 9).drop("rank")
+        assert sorted(map(str, retrieval.nearest(v, q, 9, weights=weights).collect())) == sorted(map(str, want.select("query_id", "id", "score").collect()))
+    assert retrieval.nearest(v, q.limit(0), 3, weights=weights).collect() == retrieval.nearest(v.limit(0), q, 3, weights=weights).collect() == []
+
+
 def test_review_sample(spark):
     rows = [(f"i{k}", f"r{k}", f"f{k % 3}", ["s"] if k % 2 else [], ["en"], 10**6, []) for k in range(12)]
     items = spark.createDataFrame(rows, "id string, repo_id string, family string, subject array<string>, languages array<string>, downloads long, trained_on array<string>")
