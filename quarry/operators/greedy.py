@@ -101,9 +101,10 @@ def fold_segments(
     """
     spark = df.sparkSession
     parts = max(1, -(-df.count() // segment_rows))
-    cut = materialise(df.repartitionByRange(parts, *order).withColumn("segment_", F.spark_partition_id()), "segments")
+    cut = materialise(df.repartitionByRange(parts, *order).withColumn("segment_", F.spark_partition_id()) if parts > 1 else df.withColumn("segment_", F.lit(0)), "segments")
     path = scratch(spark, "folded")
-    for k in range(parts):
+    segments = sorted(r[0] for r in cut.select("segment_").distinct().collect()) or [0]  # ranges may be more or fewer than asked for
+    for k in segments:
         # By an exchange, so that a segment's files may be read by many tasks.
         own = cut.filter(F.col("segment_") == k).drop("segment_").repartition(1).sortWithinPartitions(*order)
 
@@ -111,7 +112,7 @@ def fold_segments(
             return fold(frames, state)
 
         own.mapInPandas(run, schema).write.parquet(f"{path}/segment={k}")
-        if k + 1 < parts:
+        if k != segments[-1]:
             state = onward(spark.read.parquet(f"{path}/segment={k}"), state)
     remove(cut)
     fs, folder = hadoop(spark, path)

@@ -1,5 +1,6 @@
 import heapq
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,38 @@ def test_leased_limits_by_brute_force(spark):
     assert {g[1] for g in got.values()} == {None, limits.REASONS["running"], limits.REASONS["hour"]}
 
 
+@pytest.mark.parametrize(("rules", "segment_events"), [((2, 6, 30, 0), 30), ((1, 5, 0, 2), 45), ((0, 0, 0, 1), 10**6), ((3, 0, 25, 3), 60), ((2, 6, 30, 2), 10**6)])
+def test_limits_by_chunks_and_segments(spark, rules, segment_events):
+    rng, rules = random.Random(segment_events), limits.Limits(*rules)
+    events = []
+    for day in (0, 1, 2, 5, 9, 10):  # bursts with pauses that are longer than the windows, and some that are not
+        t = day * 86400.0 + rng.randrange(3600)
+        for _ in range(35):
+            t += rng.choice([0.0, 1.0, 20.0, 59.0, 60.0, 900.0])
+            events.append((len(events), rng.choice(["a", "b", None]), t, t + rng.choice([0.0, 5.0, 400.0, 90000.0])))
+    events.append((len(events), "a", None, 1.0))
+    df = spark.createDataFrame(events, "event_id long, client string, ts double, end double").repartition(3)
+    got = {r.event_id: (r.accepted, r.reason) for r in limits.leased_limits(df, rules, segment_events).collect()}
+    taken = []
+    for e, c, t, end in sorted(events[:-1], key=lambda x: (x[2], x[0])):
+        near = lambda s, t=t: [x for x in taken if x[1] > t - s]
+        full = lambda n, most: 0 < most <= n
+        why = "running" if full(sum(x[2] > t for x in taken), rules.running) else "hour" if full(len(near(3600)), rules.per_hour) else "day" if full(len(near(86400)), rules.per_day) else None
+        why = why or ("client" if full(sum(x[0] == c for x in near(60)), rules.per_minute) else None)
+        assert got.pop(e) == (why is None, limits.REASONS.get(why)), (rules, e)
+        if why is None:
+            taken.append((c, t, end))
+    assert got == {events[-1][0]: (None, None)}
+    assert limits.leased_limits(df.limit(0), limits.Limits(1, 1, 1, 1)).collect() == []
+
+
+def test_pauses_make_chunks(spark):
+    rows = spark.createDataFrame([(float(d * 86400 + k), 0.0) for d in (0, 1, 5, 6, 9) for k in range(4)], "ts double, end double")
+    assert sorted({(r.chunk_, r.rows_) for r in limits.paused(rows, limits.Limits(1, 0, 1)).collect()}) == [(1, 8), (2, 8), (3, 4)]
+    held = rows.withColumn("end", F.when(F.col("ts") == 3, 86400.0 * 7))
+    assert {r.chunk_ for r in limits.paused(held, limits.Limits(1, 0, 1, 1)).collect()} == {1, 2}
+
+
 def test_published_record_leaves_out_what_is_empty(spark):
     schema = "id string, repo_id string, name string, url string, description string, revision string, date_modified string, creator struct<`@type`: string, name: string>, languages array<string>, keywords array<string>, subject array<string>, downloads long, mixture_of_experts boolean, canonical string"
     rows = [("https://h/a", "a", "A", "https://h/a", "d", "v", "2024", ("Organization", "o"), ["en", "no"], [], None, 0, False, ""), ("https://h/b", "b", "B", "https://h/b", "d", None, "", ("Organization", "o"), None, ["k"], ["law"], 5, True, "https://h/a")]
