@@ -3,7 +3,8 @@
 Rule regexes are parsed to position automata; subset construction runs all rules together, with the matches
 of a rule kept apart by where they began, so that leftmost, longest, non-overlapping matches end where the
 automaton says.  The result is minimised to transition arrays over byte classes.  One pass over a text's
-bytes finds the ends of all rules' matches; a reversed automaton of the rule gives each match's start.
+bytes finds the ends of all rules' matches; transition arrays of the reversed rule give each match's start.  Both are compiled once, in
+the driver, and broadcast.
 
 A rule has to be one of those whose matches, once complete, either grow with the next byte or end
 (``body+`` at the end or a fixed length): that is checked when rules are compiled.
@@ -238,6 +239,36 @@ def minimised(to: list[list[int]], label: list) -> tuple[list[list[int]], list,
     return [[refined[t] for t in to[s]] for s in keep.values()], [label[s] for s in keep.values()], refined
 
 
+def reversed_rows(nfa: Positions, sample: Sequence[int]) -> tuple[list[list[int]], list[int], int]:
+    """A reversed rule as an automaton: next state by state and class, each state's mark (0: nothing can follow, 2: a match may begin here), and the start."""
+    number: dict[frozenset[int] | None, int] = {None: 0, frozenset(): 1}
+    states: list[frozenset[int] | None] = list(number)  # None is the start, before any byte
+    to: list[list[int]] = []
+    while len(to) < len(states):
+        own = states[len(to)]
+        after = nfa.first if own is None else {q for p in own for q in nfa.follow[p]}
+        row = []
+        for b in sample:
+            key = frozenset(q for q in after if b in nfa.sets[q])
+            if key not in number:
+                number[key] = len(states)
+                states.append(key)
+            row.append(number[key])
+        to.append(row)
+    marks = [1 if s is None else 0 if not s else 2 if s & nfa.last else 1 for s in states]
+    rows, marks, places = minimised(to, marks)
+    return rows, marks, places[0]
+
+
+def linked(rows: Sequence[Sequence[int]], marks: Sequence[int]) -> list[list]:
+    """Transition arrays: each state is the list of its successors by class, its last entry its mark."""
+    table: list[list] = [[None] * len(row) + [mark] for row, mark in zip(rows, marks, strict=True)]
+    for own, row in zip(table, rows, strict=True):
+        for c, t in enumerate(row):
+            own[c] = table[t]
+    return table
+
+
 class Scanner:
     """All rules in one automaton.  ``scan(data)`` gives (kind number, start, end) in bytes, ordered by start and kind."""
 
@@ -287,25 +318,32 @@ class Scanner:
         self.ending = next((i for i, s in enumerate(order) if label[s][0]), len(to))
         self.ended = [label[s][0] for s in order]
         self.complete = [label[s][1] for s in order]
-        rows = [[place[t] for t in to[s]] for s in order]
-        #: Each state is the list of its successors by class, its last entry its number.
-        self.table: list[list] = [[None] * (width + 1) for _ in order]
-        for i, row in enumerate(rows):
-            for c, t in enumerate(row):
-                self.table[i][c] = self.table[t]
-            self.table[i][width] = i
-        self.back = [n.reverse() for n in nfas]
+        self.rows = [[place[t] for t in to[s]] for s in order]
+        self.back_rows = [reversed_rows(n.reverse(), sample) for n in nfas]
         self.checks: list[re.Pattern | None] = [re.compile(cased(r).encode()) if r.group else None for r in rules]
+        self.link()
+
+    def link(self) -> None:
+        self.table = linked(self.rows, range(len(self.rows)))
+        self.back = [linked(rows, marks)[start] for rows, marks, start in self.back_rows]
+
+    def __getstate__(self) -> dict:
+        """Without the linked arrays, which refer to each other as deep as there are states."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "back")}
 
-    def ends(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(kind, least start, end) of every match that can be long enough, by one pass over the bytes.
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.link()
+
+    def ends(self, classes: bytes) -> list[tuple[int, int, int]]:
+        """(kind, least start, end) of every match that can be long enough, by one pass over the classes of bytes.
 
         Matches of a kind don't overlap, so one that ends less than ``least`` bytes after the last is too short.
         """
         found: list[tuple[int, int, int]] = []
         before, short = [0] * len(self.rules), [r.least for r in self.rules]
         state, width, ending, i = self.table[self.start], self.width, self.ending, 0
-        for b in data.translate(self.classes):
+        for b in classes:
             state = state[b]
             if state[width] >= ending:
                 for k in self.ended[state[width]]:
@@ -315,24 +353,22 @@ class Scanner:
             i += 1
         return found + [(k, before[k], i) for k in self.complete[state[width]] if i - before[k] >= short[k]]
 
-    def begin(self, kind: int, data: bytes, end: int, least: int) -> int:
+    def begin(self, kind: int, classes: bytes, end: int, least: int) -> int:
         """Where the match of a rule that ends at ``end`` began: the reversed rule's longest match back to ``least``."""
-        nfa = self.back[kind]
-        now, best, at = set(), end, end
-        while at > least:
-            b = data[at - 1]
-            now = {q for q in (nfa.first if at == end else {y for x in now for y in nfa.follow[x]}) if b in nfa.sets[q]}
-            if not now:
-                break
-            at -= 1
-            if now & nfa.last:
+        state, width, best = self.back[kind], self.width, end
+        for at in range(end - 1, least - 1, -1):
+            state = state[classes[at]]
+            mark = state[width]
+            if mark == 2:
                 best = at
+            elif not mark:
+                break
         return best
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
-        spans = []
-        for kind, least, end in self.ends(data):
-            start = self.begin(kind, data, end, least)
+        spans, classes = [], data.translate(self.classes)
+        for kind, least, end in self.ends(classes):
+            start = self.begin(kind, classes, end, least)
             rule = self.rules[kind]
             at = start
             if self.checks[kind] is not None:
@@ -367,11 +403,12 @@ def scan_frame(df: DataFrame, id_col: str = "doc_id", text: str = "text", rules:
     repeated rows, an empty table none; other columns are ignored.
     """
     bound_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(scanner_for(rules))
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     @F.arrow_udf("array<struct<kind: string, start: int, end: int>>")
     def found(texts: pa.Array) -> pa.Array:
-        scanner, out = scanner_for(rules), []
+        scanner, out = sent.value, []
         for data in as_bytes(texts):
             spans = scanner.scan(data) if data else []
             at = code_points(data, [o for s in spans for o in s[1:]]) if spans else {}

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -350,6 +352,17 @@ def test_scanner_on_hard_texts():
         assert [(secret_scan.RULES[k].kind, at[s], at[e]) for k, s, e in found] == plain_versions.naive_spans(text)
 
 
+def test_long_matches_begin_by_transition_arrays():
+    scanner = secret_scan.scanner_for(secret_scan.RULES)
+    sent = pickle.loads(pickle.dumps(scanner))
+    for data, want in ((b"x secret=" + b"A" * 10**6, ("assign", 2)), (b"x " + b"f" * 10**6, ("hex", 2)), (b"zAKIA" + b"AKIA9" * 10**5 + b" ", ("access", 1))):
+        begun = time.process_time()
+        found = sent.scan(data)
+        took = time.process_time() - begun
+        assert [(secret_scan.RULES[k].kind, s, e) for k, s, e in found] == [(*want, len(data.rstrip()))]
+        assert took < 1.5  # 0.3 s on a quiet machine; sets of positions took as long for starts alone
+
+
 def test_a_rule_that_can_pause_is_refused():
     with pytest.raises(ValueError):
         secret_scan.Positions.of("ab(cd)?")
