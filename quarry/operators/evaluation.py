@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.sources.tables import united
 
@@ -16,21 +17,23 @@ def discount(rank: Column) -> Column:
     return 1 / F.log2(rank + 1)
 
 
-def rank_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, depth: int = 10) -> DataFrame:
+def rank_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, depth: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Per query: gold, P@k, reciprocal rank, nDCG@k and trap rate under binary gain.
 
     ``ranked`` (query_id, id, rank), ``gold`` (query_id, id, is_gold, is_trap), ``queries`` (query_id).  Precision divides by
-    the depth; the ideal has as many hits as gold or depth allow.
+    the depth; the ideal has as many hits as gold or depth allow.  ``by``: columns of ``ranked`` and ``queries`` that tell several
+    rankings of a query apart; gold holds for all of them.
     """
     hits = ranked.filter(F.col("rank") <= depth).join(gold, ["query_id", "id"], "left")
     g, t = F.coalesce("is_gold", F.lit(False)), F.coalesce("is_trap", F.lit(False))
-    found = hits.groupBy("query_id").agg(
+    found = hits.groupBy(*by, "query_id").agg(
         F.sum(g.cast("int")).alias("hits"), F.min(F.when(g, F.col("rank"))).alias("first"), F.sum(F.when(g, discount(F.col("rank"))).otherwise(0.0)).alias("dcg"), F.sum(t.cast("int")).alias("traps")
     )
     sizes = gold.groupBy("query_id").agg(F.sum(F.col("is_gold").cast("int")).alias("gold"))
-    all_ = queries.select("query_id").join(sizes, "query_id", "left").join(found, "query_id", "left").na.fill(0, ["gold", "hits", "dcg", "traps"])
+    all_ = queries.select(*by, "query_id").join(sizes, "query_id", "left").join(found, [*by, "query_id"], "left").na.fill(0, ["gold", "hits", "dcg", "traps"])
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("gold", F.lit(depth)), F.lit(1))), F.lit(0.0), lambda acc, r: acc + discount(r))
     return all_.select(
+        *by,
         "query_id",
         F.col("gold").cast("long").alias("gold"),
         (F.col("hits") / depth).alias("precision"),
@@ -40,11 +43,11 @@ def rank_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, depth:
     )
 
 
-def summarise(metrics: DataFrame, n_documents: Column, broad: float = 0.05) -> DataFrame:
-    """Means by category, and over all queries that discriminate (gold of at most ``broad`` of the corpus).  Known items always count in theirs."""
+def summarise(metrics: DataFrame, n_documents: Column, broad: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Means by category (of each ``by``), and over all queries that discriminate (gold of at most ``broad`` of the corpus).  Known items always count in theirs."""
     keep = F.col("gold") <= F.floor(n_documents * broad)
     kinds = F.array_compact(F.array(F.when(F.col("category") == "known-item", "known-item"), F.when((F.col("category") == "descriptive") & keep, "descriptive"), F.when(keep, "all (discriminating)")))
-    return metrics.select("*", F.explode(kinds).alias("group")).groupBy("group").agg(F.count("*").alias("n"), F.avg("precision").alias("p_at_10"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg_at_10"))
+    return metrics.select("*", F.explode(kinds).alias("group")).groupBy(*by, "group").agg(F.count("*").alias("n"), F.avg("precision").alias("p_at_10"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg_at_10"))
 
 
 def golden_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -92,6 +95,42 @@ def sweep(rank: Callable[[Mapping[str, float]], DataFrame], configs: Mapping[str
     return united(*parts)
 
 
+def grid_heads(scores: DataFrame, depth: int = 10) -> DataFrame:
+    """(config, query_id, id, rank): the first ``depth`` of each query under each configuration, by score and then id.
+
+    ``scores`` (config, query_id, id, score).  Each task keeps its best before the shuffle.
+    """
+    w = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "id")
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= depth).select("config", "query_id", "id", "rank")
+
+
+def of_each(configs: Sequence[str], queries: DataFrame) -> DataFrame:
+    """``queries`` once for each of the named configurations."""
+    return queries.select(F.explode(F.array(*[F.lit(c) for c in configs])).alias("config"), *queries.columns)
+
+
+def grid_sweep(heads: DataFrame, configs: Sequence[str], gold: DataFrame, queries: DataFrame, n_documents: Column, depth: int = 10, broad: float = 0.05) -> DataFrame:
+    """(config, group, means) of the rankings of a whole grid in one pass: ``sweep`` without a plan for each configuration.
+
+    ``heads`` (config, query_id, id, rank), ``queries`` (query_id, category).  A query without a head counts 0 in every configuration.
+    """
+    asked = of_each(configs, queries)
+    metrics = rank_metrics(heads, gold, asked, depth, ["config"]).join(queries.select("query_id", "category"), "query_id")
+    return summarise(metrics, n_documents, broad, ["config"])
+
+
+def grid_coverage(lexical: DataFrame, heads: DataFrame, configs: Sequence[str], gold: DataFrame, queries: DataFrame, depth: int = 10) -> DataFrame:
+    """(config, covered, relevant_reached): means over ``queries`` (query_id) of the union of one lexical head with each head of a grid.
+
+    ``lexical`` (query_id, id, rank), ``heads`` (config, query_id, id, rank).  A query that nothing reached counts 0.
+    """
+    first = of_each(configs, lexical.filter(F.col("rank") <= depth).select("query_id", "id"))
+    reached = united(first, heads.filter(F.col("rank") <= depth).select("config", "query_id", "id")).distinct()
+    hits = reached.join(gold.filter("is_gold").select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("config", "query_id").agg(F.count("*").alias("n"))
+    each = of_each(configs, queries.select("query_id")).join(hits, ["config", "query_id"], "left").na.fill(0, ["n"])
+    return each.groupBy("config").agg(F.avg((F.col("n") > 0).cast("double")).alias("covered"), F.avg("n").alias("relevant_reached"))
+
+
 def coverage_sweep(lexical: DataFrame, near: Callable[[Mapping[str, float]], DataFrame], configs: Mapping[str, Mapping[str, float]], gold: DataFrame, depth: int = 10) -> DataFrame:
     """(config, covered, relevant_reached): means of ``union_coverage`` of lexical heads with vector heads under several weights."""
     parts = [union_coverage(lexical, near(w), gold, depth).agg(F.avg("covered").alias("covered"), F.avg("relevant_reached").alias("relevant_reached")).withColumn("config", F.lit(name)) for name, w in configs.items()]

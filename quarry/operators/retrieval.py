@@ -75,22 +75,46 @@ def weight_of(field: Column, weights: Mapping[str, float]) -> Column:
     return F.coalesce(F.try_element_at(known, field), F.lit(1.0))
 
 
+def matched(index: Index, terms: DataFrame, b: Mapping[str, float] | None = None) -> DataFrame:
+    """(query_id, id, token, field, tf, idf, times) of asked postings, tf being the count normalised by the field's length."""
+    n = index.documents.agg(F.count("*").alias("n"))
+    asked = terms.join(index.terms, "token").crossJoin(F.broadcast(n)).select("query_id", "token", "times", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # n is one row
+    share = weight_of(F.col("field"), b) if b else F.lit(V.BM25F_B)
+    norm = 1 - share + share * F.col("len") / F.col("avg_len")
+    hits = index.postings.join(asked, "token").join(F.broadcast(index.stats), "field")  # a row for each field
+    return hits.select("query_id", "id", "token", "field", (F.col("tf") / norm).alias("tf"), "idf", "times")
+
+
 def bm25f(index: Index, terms: DataFrame, weights: Mapping[str, float] = V.FIELD_WEIGHTS, b: Mapping[str, float] | None = None, k1: float = V.BM25F_K1) -> DataFrame:
     """(query_id, id, score) of documents with a query term.
 
     Term frequencies are weighted and normalised by field and added up, and then saturated once: a sum of
     scores by field would reward a word for being everywhere.
     """
-    n = index.documents.agg(F.count("*").alias("n"))
-    asked = terms.join(index.terms, "token").crossJoin(F.broadcast(n)).select("query_id", "token", "times", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # n is one row
-    share = weight_of(F.col("field"), b) if b else F.lit(V.BM25F_B)
-    norm = 1 - share + share * F.col("len") / F.col("avg_len")
-    hits = index.postings.join(asked, "token").join(F.broadcast(index.stats), "field")  # a row for each field
     w = weight_of(F.col("field"), weights)
-    summed = hits.filter(w != 0).groupBy("query_id", "id", "token").agg(F.sum(w * F.col("tf") / norm).alias("tf"), F.first("idf").alias("idf"), F.first("times").alias("times"))
+    summed = matched(index, terms, b).filter(w != 0).groupBy("query_id", "id", "token").agg(F.sum(w * F.col("tf")).alias("tf"), F.first("idf").alias("idf"), F.first("times").alias("times"))
     return summed.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") / (F.lit(k1) + F.col("tf"))).alias("score"))
 
 
+def bm25f_grid(index: Index, terms: DataFrame, grid: Mapping[str, Mapping[str, float]], b: Mapping[str, float] | None = None, k1: float = V.BM25F_K1) -> DataFrame:
+    """(config, query_id, id, score): the rows of ``bm25f`` under every set of weights of ``grid``, from one pass over the postings.
+
+    A column for each set is summed beside the others, by token and then by document, so the shuffles don't grow in rows with the grid;
+    sets come apart only where a document's scores are complete.  A document without a hit in a weighted field has no row in that set.
+    """
+    if not grid:
+        raise ValueError("a grid needs a set of weights")
+    at = [f"s{i}_" for i in range(len(grid))]
+    terms_of = []
+    for name, weights in zip(at, grid.values(), strict=True):
+        w = weight_of(F.col("field"), weights)
+        terms_of.append(F.sum(F.when(w != 0, w * F.col("tf"))).alias(name))
+    summed = matched(index, terms, b).groupBy("query_id", "id", "token").agg(*terms_of, F.first("idf").alias("idf"), F.first("times").alias("times"))
+    scores = summed.groupBy("query_id", "id").agg(*[F.sum(F.col("times") * F.col("idf") * F.col(c) / (F.lit(k1) + F.col(c))).alias(c) for c in at])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("config"), F.col(c).alias("score")) for name, c in zip(grid, at, strict=True)]))
+    return scores.select("query_id", "id", each.alias("x")).select("x.config", "query_id", "id", "x.score").filter("score is not null")
+
+
 def flat_bm25(index: Index, terms: DataFrame, fields: Sequence[str]) -> DataFrame:
     return bm25f(index, terms, dict.fromkeys(fields, 1.0))
 

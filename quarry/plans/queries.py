@@ -551,6 +551,56 @@ def ndcg_at_10(spark, sf):
     return metrics(spark, sf).select("query_id", "gold", *[F.round(c, 6).alias(c) for c in ("precision", "rr", "ndcg")])
 
 
+#: Weights of a document's name and body that are compared, and what kind of question each is.
+GRID = {"flat": (1.0, 1.0), "name2": (2.0, 1.0), "name8": (8.0, 1.0), "name32": (32.0, 0.5), "body2": (1.0, 2.0), "body8": (0.5, 8.0), "name only": (1.0, 0.0), "body only": (0.0, 1.0)}
+KINDS = (("q1", "descriptive", "en"), ("q2", "known-item", "en"), ("q3", "descriptive", "fr"), ("q4", "descriptive", "de"))
+GRID_SQL = f"""
+WITH {TOKEN_SQL}, q AS ({values_sql()}), n AS (SELECT count(*) AS n FROM documents),
+  w AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {a}, {b})" for c, (a, b) in GRID.items())}) w(config, name_w, body_w)),
+  hit AS (SELECT config, query_id, p.doc_id, p.token, times, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, sum(CASE field WHEN 'name' THEN name_w ELSE body_w END * tf / (0.25 + 0.75 * len / avg_len)) AS tf
+          FROM post p JOIN q USING (token) JOIN dfs USING (token) JOIN stats USING (field), n, w WHERE CASE field WHEN 'name' THEN name_w ELSE body_w END <> 0 GROUP BY ALL),
+  s AS (SELECT config, query_id, doc_id AS id, round(sum(times * idf * tf / (1.5 + tf)), 9) AS score FROM hit GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, id) AS rank FROM s),
+  k AS (SELECT * FROM (VALUES {", ".join(map(str, KINDS))}) k(query_id, category, lang)),
+  g AS (SELECT query_id, doc_id AS id FROM k JOIN documents USING (lang) WHERE n_chars > 1000),
+  gs AS (SELECT query_id, count(*) AS gold FROM g GROUP BY 1)"""
+
+
+def grid_inputs(spark, sf):
+    """Heads under every set of weights, gold records and questions with their category."""
+    terms = retrieval.query_terms(asked(spark))
+    index = retrieval.build_index(searchable(spark, sf), "id", ["name", "body"], terms)
+    scores = retrieval.bm25f_grid(index, terms, {c: {"name": a, "body": b} for c, (a, b) in GRID.items()}).withColumn("score", F.round("score", 9))
+    kinds = spark.createDataFrame(KINDS, "query_id string, category string, lang string")
+    gold = table(spark, sf, "documents").filter("n_chars > 1000").join(F.broadcast(kinds), "lang").select("query_id", F.col("doc_id").alias("id"), F.lit(True).alias("is_gold"), F.lit(False).alias("is_trap"))
+    return evaluation.grid_heads(scores), gold, kinds
+
+
+@query(GRID_SQL + """,
+  h AS (SELECT config, query_id, count(g.id) AS hits, min(rank) FILTER (g.id IS NOT NULL) AS first, sum(CASE WHEN g.id IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r LEFT JOIN g USING (query_id, id) WHERE rank <= 10 GROUP BY 1, 2),
+  m AS (SELECT w.config, k.category, coalesce(gold, 0) AS gold, coalesce(hits, 0) / 10.0 AS p, coalesce(1.0 / first, 0) AS rr, CASE WHEN gold > 0 THEN coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(gold, 10)::BIGINT + 1) t(i)) ELSE 0 END AS ndcg
+        FROM w CROSS JOIN k LEFT JOIN gs ON gs.query_id = k.query_id LEFT JOIN h ON h.query_id = k.query_id AND h.config = w.config),
+  u AS (SELECT config, category AS "group", p, rr, ndcg FROM m, n WHERE category = 'known-item' OR gold <= floor(n * 0.5) UNION ALL SELECT config, 'all (discriminating)', p, rr, ndcg FROM m, n WHERE gold <= floor(n * 0.5))
+SELECT config, "group", count(*) AS n, round(avg(p), 6) AS p_at_10, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_at_10 FROM u GROUP BY 1, 2""")
+def weight_grid(spark, sf):
+    """Means of eight sets of field weights over the index of all documents, from one pass over its postings."""
+    heads, gold, kinds = grid_inputs(spark, sf)
+    n = table(spark, sf, "documents").count()
+    return evaluation.grid_sweep(heads, list(GRID), gold, kinds, F.lit(n), broad=0.5).select("config", "group", "n", *[F.round(c, 6).alias(c) for c in ("p_at_10", "mrr", "ndcg_at_10")])
+
+
+@query(GRID_SQL + """,
+  l AS (SELECT query_id, id FROM r WHERE config = 'flat' AND rank <= 10), o AS (SELECT w.config, l.query_id, l.id FROM w, l UNION SELECT config, query_id, id FROM r WHERE rank <= 10),
+  h AS (SELECT config, query_id, count(*) AS reached FROM o JOIN g USING (query_id, id) GROUP BY 1, 2)
+SELECT w.config, round(avg((coalesce(reached, 0) > 0)::INT), 6) AS covered, round(avg(coalesce(reached, 0)), 6) AS relevant_reached FROM w CROSS JOIN k LEFT JOIN h ON h.config = w.config AND h.query_id = k.query_id GROUP BY 1""")
+def weight_grid_coverage(spark, sf):
+    """What the head under equal weights and that of each other set reach together."""
+    heads, gold, kinds = grid_inputs(spark, sf)
+    heads = tables.materialise(heads, "heads", 10 * len(GRID) * len(KINDS))
+    got = evaluation.grid_coverage(heads.filter("config = 'flat'"), heads, list(GRID), gold, kinds)
+    return got.select("config", *[F.round(c, 6).alias(c) for c in ("covered", "relevant_reached")])
+
+
 # --- names ---------------------------------------------------------------------------------------------
 
 REPO_SQL = "SELECT p_partkey, lower(p_brand) || '/' || replace(p_name, ' ', '-') || CASE p_partkey % 4 WHEN 0 THEN '-' || p_size || 'B-GGUF' WHEN 1 THEN '-' || p_size || '.5m' WHEN 2 THEN '-Q4_K_M' ELSE '-mirror' END AS repo FROM part"

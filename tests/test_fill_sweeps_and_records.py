@@ -149,3 +149,35 @@ def test_few_files_for_bounded_tables_and_none_after_removal(spark):
     assert len(files) == 1 and df.count() == 1000
     tables.remove(df)
     assert not tables.exists(spark, files[0])
+
+
+def test_a_grid_of_weights_is_as_many_rankings(spark):
+    rng = random.Random(5)
+    word = lambda n: " ".join(rng.choice("alpha beta gamma delta zeta".split()) for _ in range(n))
+    docs = spark.createDataFrame([(i, word(rng.randint(0, 3)), word(rng.randint(0, 12))) for i in range(150)] + [(150, None, None)], "id long, name string, body string")
+    terms = retrieval.query_terms(spark.createDataFrame([("a", "alpha alpha zeta"), ("b", "gamma"), ("none", "omega")], "query_id string, question string"))
+    index = retrieval.build_index(docs, "id", ["name", "body"], terms)
+    grid = {"flat": {"name": 1.0, "body": 1.0}, "names": {"name": 3.0, "body": 0.0}, "nothing": {"name": 0.0, "body": 0.0}}
+    got = {}
+    for r in retrieval.bm25f_grid(index, terms, grid).collect():
+        got.setdefault(r.config, {})[r.query_id, r.id] = round(r.score, 9)
+    for name, weights in grid.items():
+        assert got.get(name, {}) == {(r.query_id, r.id): round(r.score, 9) for r in retrieval.bm25f(index, terms, weights).collect()}
+    assert "nothing" not in got
+    with pytest.raises(ValueError):
+        retrieval.bm25f_grid(index, terms, {})
+
+    asked = spark.createDataFrame([("a", "descriptive"), ("b", "known-item"), ("none", "descriptive")], "query_id string, category string")
+    gold = docs.filter("id % 3 = 0").select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("query_id"), "id", F.lit(True).alias("is_gold"), F.lit(False).alias("is_trap"))
+    heads = evaluation.grid_heads(retrieval.bm25f_grid(index, terms, grid).withColumn("score", F.round("score", 9)))
+    plain = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in (r.config, r.group, r.n, r.p_at_10, r.mrr, r.ndcg_at_10)) for r in df.collect())
+    rank = lambda w: retrieval.top_k(retrieval.bm25f(index, terms, w).withColumn("score", F.round("score", 9)), 10)
+    assert plain(evaluation.grid_sweep(heads, list(grid), gold, asked, F.lit(151), broad=1.0)) == plain(evaluation.sweep(rank, grid, gold, asked, F.lit(151), broad=1.0))
+    flat = heads.filter("config = 'flat'").drop("config")
+    both = {r.config: (r.covered, r.relevant_reached) for r in evaluation.grid_coverage(flat, heads, list(grid), gold, asked).collect()}
+    ids = {}
+    for r in heads.collect():
+        ids.setdefault((r.config, r.query_id), set()).add(r.id)
+    for c in grid:
+        n = [sum(i % 3 == 0 for i in ids.get((c, q), set()) | ids.get(("flat", q), set())) if q != "none" else 0 for q in ("a", "b", "none")]
+        assert both[c] == (sum(x > 0 for x in n) / 3, sum(n) / 3)
