@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import evaluation, records, reports, retrieval
+from quarry.operators import embeddings, evaluation, records, reports, retrieval
 from quarry.plans import search
 from quarry.plans.catalog_queries import ITEMS_SQL, duck, items, joined, shared
 from quarry.plans.queries import TOKEN_SQL, asked, best, bm25_sql, query, searchable, table, values_sql
@@ -218,6 +218,23 @@ def hash_vectors(spark, sf):
     return each.unionByName(zero).withColumn("value", F.round("value", 6))
 
 
+EMBED_SQL = """d AS (SELECT doc_id, field, text FROM (SELECT doc_id, 'source' AS field, source AS text FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents)),
+  t AS (SELECT DISTINCT text FROM d WHERE trim(coalesce(text, '')) <> ''), u AS (SELECT text, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM t),
+  s AS (SELECT text, ('0x' || left(h, 8))::BIGINT % 16 AS p, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM u GROUP BY 1, 2), n AS (SELECT text, sqrt(sum(v * v)) AS len FROM s GROUP BY 1)"""
+
+
+@query(f"""WITH {EMBED_SQL} SELECT doc_id, field, p::INT AS place, round(v / len, 6) AS value, (SELECT count(*) FROM t WHERE text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AS asked
+FROM d JOIN s USING (text) JOIN n USING (text) WHERE v <> 0""")
+def embedded_documents(spark, sf):
+    """Vectors of documents' fields from a table by content that has the benchmark's already; ``asked``: for how many texts the model was."""
+    path, model = folder(spark, "vectors"), embeddings.hash_model(16)
+    embeddings.embed_missing(table(spark, sf, "benchmark"), path, model)
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("source", "text")])).alias("x")).select("doc_id", "x.*")
+    asked_for = embeddings.embed_missing(docs, path, model)
+    each = embeddings.looked_up(docs, path, model).select("doc_id", "field", F.posexplode("vector").alias("place", "value")).filter("value != 0")
+    return each.withColumn("value", F.round("value", 6)).withColumn("asked", F.lit(asked_for).cast("long"))
+
+
 @query(f"""WITH {ITEMS_SQL} SELECT id, name || ' ' || repo_id AS name, array_to_string(list_append(CASE WHEN category IS NULL THEN []::VARCHAR[] ELSE string_split(category, '|') END, coalesce(task, '')), ' ') AS subcategory, coalesce(replace(subject, '-', ' '), '') AS subject, coalesce(capability, '') AS capability,
   replace(keywords, '|', ' ') || ' ' || coalesce(library, '') AS keywords, description, coalesce(trained_on, fine_tuned_on, evaluated_on, intended_for, architecture_for, '') AS evidence, creator AS publisher, concat_ws(' ', intended_use, replace(limitation, '|', ' ')) AS notes FROM items""")
 def evaluation_texts(spark, sf):
