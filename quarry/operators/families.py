@@ -15,6 +15,8 @@ from quarry.sources.tables import ensure_checkpoints, materialise, united
 
 NEAR_JACCARD = 0.90
 FAMILY_HOPS = 7
+#: Classes that share a shingle from which on they meet by cells and parts, and classes of a part.
+CROWD, BLOCK = 2_000, 1_000
 
 
 def parents(df: DataFrame, id_col: str = "repo_id", bases: str = "base_models") -> DataFrame:
@@ -100,11 +102,46 @@ def duplicate_groups(df: DataFrame, id_col: str, content: str) -> DataFrame:
     return df.groupBy(F.sha2(F.col(content), 256).alias("content_sha")).agg(F.count("*").alias("n_members"), F.min(id_col).alias("first_id")).filter("n_members > 1")
 
 
-def near_duplicates(df: DataFrame, id_col: str, content: str, buckets: Sequence[str] = (), least: float = NEAR_JACCARD, size: int = 5) -> DataFrame:
+def fits(n: Column, at: Column, other_n: Column, other_at: Column, least: float) -> Column:
+    """Whether two sets of these sizes, which share a shingle at these places of the order, can still be ``least`` alike if it is their first one.
+
+    Of the order's rest each set has what its size leaves, so the shared part is one and the smaller rest at most.
+    """
+    sizes = F.least(n, other_n) >= F.lit(least) * F.greatest(n, other_n)
+    return sizes & (1 + F.least(n - at, other_n - other_at) >= F.lit(least / (1 + least)) * (n + other_n) - F.lit(1e-6))
+
+
+def crowded_pairs(crowd: DataFrame, least: float, block: int) -> DataFrame:
+    """(a, b) of sets that share a crowded shingle and can be alike; ``crowd`` (h, g, rep, n, place).
+
+    Sets with one shingle, group, size and place are a cell.  Whether two cells can hold alike sets is decided once for the cells, so a
+    template that all sets share gives no pair if what they don't share is enough.  The other cells are cut to parts of some ``block`` sets,
+    and a pair of parts is a join key of its own: no task gets a whole crowd, and a set is copied once a part that it meets.
+    """
+    cell = ["h", "g", "n", "place"]
+    cells = crowd.groupBy(*cell).agg(F.count("*").alias("sets")).withColumn("parts", F.ceil(F.col("sets") / block))
+    u, v = (cells.select("h", "g", *[F.col(c).alias(f"{c}_{side}") for c in ("n", "place", "parts")]) for side in "uv")
+    ordered = F.struct("n_u", "place_u") <= F.struct("n_v", "place_v")
+    both = u.join(v, ["h", "g"]).filter(ordered & fits(F.col("n_u"), F.col("place_u"), F.col("n_v"), F.col("place_v"), least))
+    one = (F.col("n_u") == F.col("n_v")) & (F.col("place_u") == F.col("place_v"))
+    part = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"parts_{side}") - 1)).alias(f"part_{side}")
+    meeting = both.select("*", part("u")).select("*", part("v")).filter(~one | (F.col("part_u") <= F.col("part_v")))
+    key = ["h", "g", "n_u", "place_u", "part_u", "n_v", "place_v", "part_v"]
+    meeting = materialise(meeting.select(*key), "parts")
+    placed = crowd.join(cells.drop("sets"), cell).select(*cell, "rep", F.pmod(F.xxhash64("rep"), "parts").alias("part"))
+    x, y = (placed.select("h", "g", F.col("rep").alias(name), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "place", "part")]) for side, name in (("u", "x"), ("v", "y")))
+    left = meeting.join(x, ["h", "g", "n_u", "place_u", "part_u"])
+    right = meeting.join(y, ["h", "g", "n_v", "place_v", "part_v"])
+    inside = one & (F.col("part_u") == F.col("part_v"))
+    return left.join(right, key).filter(~inside | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, content: str, buckets: Sequence[str] = (), least: float = NEAR_JACCARD, size: int = 5, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(a, b, jaccard) of pairs, a before b, with shingle sets at least ``least`` alike, inside equal buckets that aren't all null.
 
     Prefix filter: ordered by rarity, two sets that alike share one of their first n - ceil(least * n) + 1
-    shingles, so only these are joined; sizes must fit too.  Equal sets are one class first and cost a link to its
+    shingles, so only these are joined; sizes and places must fit too.  A shingle of over ``crowd`` classes goes by cells and
+    parts of some ``block`` classes.  Equal sets are one class first and cost a link to its
     smallest member, not all pairs.  Candidates are verified on whole sets.
     """
     base = df.select(F.col(id_col).alias("id"), *buckets, text.shingles(F.col(content), size).alias("s")).filter("size(s) > 0")
@@ -121,12 +158,16 @@ def near_duplicates(df: DataFrame, id_col: str, content: str, buckets: Sequence[
     shared = exploded.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("rep", *buckets)
     ranked = exploded.join(shared, "h").withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
-    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("rep", *buckets, "n", "h")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n"))
-    for c in buckets:
-        meets = meets & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    pairs = x.join(y, meets).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    group = F.to_json(F.struct(*buckets)) if buckets else F.lit("")  # null buckets are equal
+    short = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    prefix = materialise(short.select("h", group.alias("g"), "rep", "n", "place", "df"), "prefixes")  # read by several branches
+    few = prefix.filter(F.col("df") <= crowd)
+    x, y = few.alias("x"), few.alias("y")
+    meets = (F.col("x.h") == F.col("y.h")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.rep") < F.col("y.rep"))
+    meets = meets & fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), least)
+    pairs = x.join(y, meets).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    many = prefix.filter(F.col("df") > crowd)
+    pairs = (pairs if many.isEmpty() else united(pairs, crowded_pairs(many, least, block))).distinct()
     sets = classes.select("rep", "s")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))

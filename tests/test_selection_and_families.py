@@ -186,3 +186,52 @@ def test_segments_hand_the_fill_over(spark):
         filled[best] += 1
     for n in (50, 10_000):
         assert {r.repo_id: r.stratum for r in selection.assign_strata(df, quotas, n).collect()} == want
+
+
+def shingle_sets(rows, size=5):
+    out = {}
+    for key, words in rows:
+        w = words.split()
+        out[key] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    return out
+
+
+@pytest.mark.parametrize("crowd,block", [(2_000, 1_000), (1, 3), (0, 1)])
+def test_near_duplicates_by_all_pairs(spark, crowd, block):
+    rng = random.Random(crowd)
+    base = [[rng.choice("abcdefghij") + str(rng.randint(0, 60)) for _ in range(rng.randint(20, 70))] for _ in range(6)]
+    rows = []
+    for i in range(220):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 5)}"
+        if rng.random() < 0.3:
+            words = words[rng.randint(0, 2) :] + ["end"] * rng.randint(0, 2)
+        rows.append((i, " ".join(words), rng.choice(["en", "de", None]), rng.choice([1, None])))
+    sets = shingle_sets((i, t) for i, t, *_ in rows)
+    of = {i: (a, b) for i, _, a, b in rows}
+    classes = {}
+    for i in sets:
+        classes.setdefault((frozenset(sets[i]), of[i]), []).append(i)
+    for least in (0.9, 0.6):
+        want = {}
+        heads = [min(m) for k, m in classes.items() if k[1] != (None, None)]
+        for a in heads:
+            for b in heads:
+                both = len(sets[a] & sets[b])
+                if a < b and of[a] == of[b] and both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    want[a, b] = round(both / (len(sets[a]) + len(sets[b]) - both), 9)
+        for k, m in classes.items():
+            want |= {(min(m), i): 1.0 for i in m if i != min(m)} if k[1] != (None, None) else {}
+        df = spark.createDataFrame(rows, "id long, t string, lang string, kind int")
+        got = families.near_duplicates(df, "id", "t", ["lang", "kind"], least=least, crowd=crowd, block=block).collect()
+        assert len(want) > 10 and {(r.a, r.b): round(r.jaccard, 9) for r in got} == want and len(got) == len(want)
+
+
+def test_near_duplicates_of_records_that_share_a_template(spark):
+    """Twenty thousand records of one template, each with words of its own, and some that differ from another by a last word."""
+    template = " ".join(f"t{i}" for i in range(100))
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} {template}") for i in range(20_000)]
+    rows += [(20_000 + i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} {template} end") for i in range(0, 60, 3)]
+    got = families.near_duplicates(spark.createDataFrame(rows, "id long, t string").repartition(8), "id", "t").collect()
+    assert {(r.a, r.b): round(r.jaccard, 6) for r in got} == {(i, 20_000 + i): round(104 / 105, 6) for i in range(0, 60, 3)}
