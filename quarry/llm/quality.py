@@ -13,16 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, bound_batches, release, fresh
+from quarry.llm.common import as_bytes, bound_batches, fresh, release
+from quarry.sources.tables import materialise, remove
 
 #: Buckets of n-grams.
 BUCKETS = 1 << 15
-#: Documents of the trusted sample at most: those whose ids hash lowest.
+#: Scores of trusted documents from which on the lowest are set apart before they are ordered.
 TRUSTED = 20_000
-#: Share of the trusted sample that may score below the threshold, and how far below that the threshold lies.
+#: Share of trusted documents that may score below the threshold, and how far below that the threshold lies.
 TRUSTED_LOSS, MARGIN = 0.001, 0.05
 #: Added to each bucket's count.
 SMOOTHING = 1.0
@@ -97,62 +98,74 @@ class Model:
         return float(self.ratio[buckets_of(ids, at, len(self.ratio))].mean())
 
 
-def trusted_sample(labels: DataFrame, id_col: str, most: int = TRUSTED) -> DataFrame:
-    """Ids of good, non-toxic documents: at most ``most``, those whose ids hash lowest."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).alias("trusted_id")).filter("trusted_id is not null").distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids (trusted_id) of all good, non-toxic documents, each once; ``labels`` has its id as ``id_``."""
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+    return good.select(F.col("id_").alias("trusted_id")).filter("trusted_id is not null").distinct()
 
 
-def ngram_counts(df: DataFrame, text: str, trusted: Column, n: int = BUCKETS) -> DataFrame:
-    """Per bucket its n-grams in all documents and in trusted ones.  A task sends its non-zero buckets once, whatever it reads."""
+def nth_score(scores: DataFrame, share: float, many: int = TRUSTED) -> float | None:
+    """The score that stands at ``share`` of all scores in order, exactly; null if there are none.
+
+    Of many scores an approximate quantile first sets the lowest apart, which a count confirms, so that no task orders all.
+    """
+    n = scores.count()
+    if not n:
+        return None
+    at = int(share * n)
+    if n > many:
+        near = scores.agg(F.percentile_approx("score", min(1.0, 2 * share + 0.001), 10_000)).first()[0]
+        low = scores.filter(F.col("score") <= F.lit(near))
+        scores = low if low.count() > at else scores
+    return scores.orderBy("score").offset(at).limit(1).first()[0]
+
+
+def ngram_counts(df: DataFrame, text: str, n: int = BUCKETS) -> np.ndarray:
+    """N-grams of all texts by bucket.  A task sends its non-zero buckets once, whatever it reads; the driver gets at most ``n`` sums."""
 
     def count(batches):
-        raw, good = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        sums = np.zeros(n, np.int64)
         for batch in batches:
-            for data, mark in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for data in as_bytes(batch.column(0)):
                 ids, at = local_ids((data or b"").split())
-                own = np.bincount(buckets_of(ids, at, n), minlength=n) if len(at) > n // 8 else None
-                if own is None:
-                    where = buckets_of(ids, at, n)
-                    np.add.at(raw, where, 1)
-                    if mark:
-                        np.add.at(good, where, 1)
+                where = buckets_of(ids, at, n)
+                if len(at) > n // 8:
+                    sums += np.bincount(where, minlength=n)
                 else:
-                    raw += own
-                    good += own if mark else 0
+                    np.add.at(sums, where, 1)
         release()
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "good"])
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["bucket", "n"])
 
     bound_batches(df.sparkSession)
-    parts = df.select(F.col(text), trusted).mapInArrow(count, "bucket int, raw long, good long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    out = np.zeros(n)
+    for bucket, total in df.select(F.col(text)).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # at most n rows
+        out[bucket] = total
+    return out
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = TRUSTED, n: int = BUCKETS, loss: float = TRUSTED_LOSS, margin: float = MARGIN) -> Model:
-    """Count both multinomials (the raw one over every document) and set the threshold.
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = BUCKETS, loss: float = TRUSTED_LOSS, margin: float = MARGIN, many: int = TRUSTED) -> Model:
+    """Count both multinomials, over every document and over every trusted one, and set the threshold by all trusted scores.
 
-    The driver gets ``n`` buckets and at most ``most`` scores, however large the corpus is.  Without trusted documents all scores
+    The driver gets ``n`` sums of each and one score, however large the corpus is.  Without trusted documents all scores
     are 0 and all are kept.
     """
-    sample = trusted_sample(labels, id_col, most)
-    mark = fresh(df, "trusted_")
-    ids = F.broadcast(sample.withColumn(mark, F.lit(True)))  # at most `most` ids
-    marked = df.join(ids, df[id_col] == F.col("trusted_id"), "left")
-    raw, good = np.zeros(n), np.zeros(n)
-    for b, r, g in ngram_counts(marked, text, F.coalesce(F.col(mark), F.lit(False)), n).collect():  # at most n rows
-        raw[b], good[b] = r, g
+    good_ids = trusted_ids(labels.select(F.col(id_col).alias("id_"), "quality", "toxic"))
+    # Labels grow with documents, so the join shuffles; trusted texts are written, as both passes over them need them.
+    known = materialise(df.select(F.col(id_col).alias("trusted_of"), F.col(text).alias("text_")).join(good_ids.hint("shuffle_hash"), F.col("trusted_of") == F.col("trusted_id"), "left_semi"), "trusted")
+    good = ngram_counts(known, "text_", n)
     if not good.sum():
+        remove(known)
         return Model(np.zeros(n), 0.0)
+    raw = ngram_counts(df, text, n)
     share = [(v + SMOOTHING) / (v.sum() + SMOOTHING * n) for v in (good, raw)]
     ratio = np.log(share[0] / share[1])
-    known = df.join(F.broadcast(sample), df[id_col] == F.col("trusted_id"), "left_semi").select(F.col(text), F.col(id_col).alias("trusted_of"))
-    # Failed rows are left out here and not by a filter, which would move the scoring below the join, over all rows.
-    rated = apply(known, Model(ratio, 0.0), text, "q").groupBy("trusted_of").agg(F.min(F.when(~F.col("q.base_failed"), F.col("q.score"))).alias("score"))  # one of rows with an id
-    scores = np.sort([r[0] for r in rated.select("score").collect() if r[0] is not None])
-    if not len(scores):
-        return Model(ratio, float("-inf"))
-    return Model(ratio, float(scores[int(loss * len(scores))]) - margin)
+    # Failed rows are left out here and not by a filter, which would have texts scored twice.
+    rated = apply(known, Model(ratio, 0.0), "text_", "q").groupBy("trusted_of").agg(F.min(F.when(~F.col("q.base_failed"), F.col("q.score"))).alias("score"))  # one of rows with an id
+    scores = materialise(rated.select("score").filter("score is not null"), "scores")
+    least = nth_score(scores, loss, many)
+    remove(known, scores)
+    return Model(ratio, float("-inf") if least is None else float(least) - margin)
 
 
 def apply(df: DataFrame, model: Model, text: str = "text", quality: str = "quality_") -> DataFrame:
