@@ -22,7 +22,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -179,29 +179,108 @@ class TokenFile:
             yield i, begin, np.concatenate(parts) if len(parts) > 1 else held[begin - low : end - low]
 
 
-#: Words that a worker remembers with their ids (twice, the last and those before), the longest that it does, and other runs.
-MEMO_WORDS, MEMO_CHARS, MEMO_RUNS = 1 << 19, 48, 1 << 16
-#: Words of Latin letters, ASCII digits, ASCII signs (but for the apostrophe, which may begin an ending) and line ends fall into runs of each kind.
-_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
-_SIMPLE = re.compile(f"[{_LETTERS}0-9{_SIGNS}\n]+")
-_WIDE = re.compile(r" (?:\s|\Z)")
-_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n")
+#: Parts of texts that a worker remembers with their ids (twice, the last and those before), and the longest that it does.
+MEMO_PARTS, MEMO_BYTES = 1 << 19, 64
+#: Kinds of bytes whose runs the pre-tokenizer parts: the rest is odd, the apostrophe too (it may begin an ending).
+ODD, LETTER, DIGIT, SIGN, LINE_END = range(5)
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _of in ((LETTER, [*range(65, 91), *range(97, 123)]), (DIGIT, range(48, 58)), (SIGN, [b for b in range(33, 127) if not chr(b).isalnum() and b != 39]), (LINE_END, [10])):
+    _KINDS[list(_of)] = _kind
+#: First bytes of À to ȿ (letters all, but for × and ÷).
+_LATIN = range(0xC3, 0xC9)
+#: White space by its number of bytes, as big-endian numbers.
+_WHITE = {n: np.array([int.from_bytes(w) for w in (chr(c).encode() for c in range(0xD800) if chr(c).isspace()) if len(w) == n]) for n in (1, 2, 3)}
+_WHITE_BYTE = np.isin(np.arange(256), _WHITE[1])
+_WHITE_LEAD = np.isin(np.arange(256), [*_WHITE[2] >> 8, *_WHITE[3] >> 16])
 
 #: The character by which byte-level vocabularies write a byte: itself where Latin-1 prints it, else the next free one from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_SIGNS = dict(zip((b for b in range(256) if b not in _PRINTED), map(chr, range(256, 512))))
+#: The same as UTF-16; a zero byte, which no part of even kinds holds, becomes the space, which is no byte's sign.
+_SIGNS = np.array([ord(_BYTE_SIGNS.get(b, chr(b))) if b else 32 for b in range(256)], "<u2")
+
+
+def utf8_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 of all texts in a row (null: empty), and where each begins, with the whole length at the end."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def cut_texts(data: np.ndarray, at: np.ndarray, special: Sequence[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of texts begin, and whether each is odd.
+
+    Texts are cut before every space that something other than white space follows.  What lies between two cuts is cut to runs of
+    letters, digits, signs and single line ends (a space before a run goes with it), if there is nothing else in it; otherwise it
+    stays whole and is odd.
+    """
+    size = len(data)
+    begins = np.zeros(size + 1, bool)
+    begins[at] = True
+    spaces = np.flatnonzero(data == 32)
+    spaces = spaces[~begins[spaces + 1]]
+    spaces = spaces[~_WHITE_BYTE[data[spaces + 1]]]
+    wide = np.flatnonzero(_WHITE_LEAD[data[spaces + 1]])
+    if len(wide):
+        padded = np.append(data, np.zeros(2, np.uint8))
+        two = padded[spaces[wide] + 1].astype(np.int64) << 8 | padded[spaces[wide] + 2]
+        three = two << 8 | padded[spaces[wide] + 3]
+        spaces = np.delete(spaces, wide[np.isin(two, _WHITE[2]) | np.isin(three, _WHITE[3])])
+    begins[spaces] = True
+    kinds = _KINDS[data]
+    lead = np.flatnonzero((data >= _LATIN[0]) & (data <= _LATIN[-1]))
+    lead = lead[(data[lead] != 0xC3) | (data[lead + 1] & 0xDF != 0x97)]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    ends = kinds == LINE_END
+    kinds[:-1][ends[:-1] & ends[1:]] = ODD
+    for word in special:
+        for m in re.finditer(re.escape(word), data):
+            kinds[m.start() : m.end()] = ODD
+    kinds[spaces] = kinds[spaces + 1]
+    starts = np.flatnonzero(begins[:size])
+    odd = np.repeat(np.logical_or.reduceat(kinds == ODD, starts), np.diff(starts, append=size)) if size else np.zeros(0, bool)
+    begins[1:size] |= (kinds[1:] != kinds[:-1]) & ~odd[1:]
+    starts = np.flatnonzero(begins[:size])
+    return starts, odd[starts]
+
+
+def gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` ids from each of the places ``first`` on, in a row."""
+    ends = np.cumsum(size)
+    return ids[np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Memo:
+    """Parts of texts and their ids; number 0 is that of no part."""
+
+    def __init__(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def find(self, parts: list[bytes]) -> np.ndarray:
+        """The number of each part, 0 for those that are not known."""
+        return np.fromiter(map(self.places.get, parts, repeat(0)), np.int64, len(parts))
+
+    def add(self, parts: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        self.places.update(zip(parts, range(len(self.first), len(self.first) + len(parts))))
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.append(self.ids, ids)
 
 
 class TextEncoder:
     """The ids of texts under a tokenizer file, with an end id after each text.
 
     Byte-level tokenizers without normaliser never join what stands before a space with what follows it, if that is no white
-    space: so texts are cut there, and a word's ids are asked of the library once and remembered.  Other tokenizers get whole texts.
+    space: so texts are cut there and to runs of one kind of characters, and the ids of a part are asked of the library once and
+    remembered.  All new runs of a batch are asked at once.  Other tokenizers get whole texts.
     """
 
     def __init__(self, file: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -209,118 +288,97 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
-        self.special = [a["content"] for a in added]
+        self.special = [a["content"].encode() for a in added]
         self.cuts = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-            and model.get("type") == "BPE" and not model.get("dropout")
+            and model.get("type") == "BPE" and not model.get("dropout") and all(_BYTE_SIGNS.get(b, chr(b)) in model["vocab"] for b in range(256))
+            and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
             and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or any(c.isspace() for c in a["content"]) for a in added)
         )
-        self.end_id, self.model = end_id, self.tokenizer.model
-        self.words: dict[str, int] = {}
-        self.runs: dict[str, Sequence[int]] = {}
-        self.ids, self.first, self.size = array("I"), array("q"), array("q")
-        self._reset()
-
-    def _reset(self) -> None:
-        """Begin anew; what is remembered stays at hand until the next time, so that frequent words aren't asked again."""
-        self.old, self.old_ids, self.old_first, self.old_size = self.words, self.ids, self.first, self.size
-        self.words, self.runs = _Words(self), {}
-        self.ids, self.first, self.size = array("I", [self.end_id]), array("q", [0]), array("q", [1])
-
-    def _place(self, ids: Sequence[int]) -> int:
-        """The number under which some ids are kept."""
-        self.first.append(len(self.ids))
-        self.size.append(len(ids))
-        self.ids.extend(ids)
-        return len(self.first) - 1
-
-    def _kept(self, at: int) -> Sequence[int]:
-        return self.ids[self.first[at] : self.first[at] + self.size[at]]
+        self.end_id = end_id
+        self.memo, self.before = Memo(), Memo()
+        if self.cuts:
+            self.runs = Tokenizer(self.tokenizer.model)
+            self.runs.pre_tokenizer = CharDelimiterSplit(" ")
+            self.width = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each id
+            self.width[list(model["vocab"].values())] = [len(v) for v in model["vocab"]]
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _run(self, run: str) -> Sequence[int]:
-        """The ids of a run of one kind of characters, as the library's model takes it: in byte-level signs."""
-        return [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(_BYTE_SIGNS))]
-
-    def _word(self, word: str) -> Sequence[int]:
-        """The ids of a word after a space."""
-        if word.isalpha() and word.isascii():
-            return [t.id for t in self.model.tokenize("Ġ" + word)]
-        if not _SIMPLE.fullmatch(word) or "\n\n" in word:
-            return self._whole(" " + word)
-        first, *others = _RUNS.findall(word)
-        if not others:
-            return self._run(" " + word)
-        out = [*self._kept(self.words[first])]
-        for run in others:
-            ids = self.runs.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if len(self.runs) < MEMO_RUNS and len(run) <= MEMO_CHARS:
-                    self.runs[run] = ids
-            out += ids
-        return out
-
-    def _numbers(self, text: str) -> list[int]:
-        """Numbers of the ids of a text's parts, and 0 for its end."""
-        if not text:
-            return [0]
-        if not self.cuts:
-            return [self._place(self._whole(text)), 0]
-        parts = split_text(text)
-        out = [self._place(self._whole(parts[0]))] if parts[0] else []
-        if any(x in text for x in self.special):
-            out += [self._place(self._whole(" " + p)) if any(x in p for x in self.special) else self.words[p] for p in parts[1:]]
-        else:
-            out += map(self.words.__getitem__, parts[1:])
-        out.append(0)
-        return out
-
-    def encode_all(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of one kind of characters in a row, as the library's model takes them, and the number of each."""
+        signs = _SIGNS[np.frombuffer(b"\0".join(parts), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.runs.encode_batch_fast([signs], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))  # ids of a run end where its bytes do
+        return ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), stops, "right"), prepend=0)
+
+    def _asked(self, parts: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts in a row, and the number of each."""
+        if not odd.any():
+            return self._runs(parts)
+        ids, size = self._runs([p for p, o in zip(parts, odd, strict=True) if not o])
+        whole = [self._whole(p.decode()) for p, o in zip(parts, odd, strict=True) if o]
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[~odd], sizes[odd] = size, [len(w) for w in whole]
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        of_odd = np.repeat(odd, sizes)
+        out[~of_odd], out[of_odd] = ids, np.fromiter(chain.from_iterable(whole), np.uint32, int(sizes[odd].sum()))
+        return out, sizes
+
+    def _known(self, parts: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For different parts: some ids, and where among them each part's begin, and their number."""
+        if len(self.memo.places) > MEMO_PARTS:  # begin anew; what is remembered stays at hand until the next time
+            self.memo, self.before = Memo(), self.memo
+        memo, extra = self.memo, []
+        found = memo.find(parts)
+        for source in (self.before, None):
+            new = np.flatnonzero(found == 0)
+            if not len(new):
+                break
+            own = [parts[i] for i in new]
+            if source is None:
+                ids, size = self._asked(own, odd[new])
+            else:
+                at = source.find(own)
+                hit = at > 0
+                new, own, at = new[hit], [p for p, h in zip(own, hit, strict=True) if h], at[hit]
+                ids, size = gather(source.ids, source.first[at], source.size[at]), source.size[at]
+            short = np.fromiter((len(p) <= MEMO_BYTES for p in own), bool, len(own))
+            found[new[short]] = len(memo.first) + np.arange(int(short.sum()))
+            keep = np.repeat(short, size)
+            memo.add([p for p, s in zip(own, short, strict=True) if s], ids[keep], size[short])
+            if not short.all():
+                extra.append((new[~short], ids[~keep], size[~short]))
+        first, sizes = memo.first[found], memo.size[found]
+        pool = [memo.ids]
+        for at, ids, size in extra:
+            first[at], sizes[at] = sum(map(len, pool)) + np.cumsum(size) - size, size
+            pool.append(ids)
+        return np.concatenate(pool), first, sizes
+
+    def encode_all(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each, ends included."""
-        if len(self.first) > MEMO_WORDS:
-            self._reset()
-        got = [self._numbers(t or "") for t in texts]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        words = np.fromiter(chain.from_iterable(got), np.int64, int(counts.sum()))
-        ids, first, size = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.first, np.int64), np.frombuffer(self.size, np.int64)
-        sizes = size[words]
-        ends = np.cumsum(sizes)
-        where = np.repeat(first[words] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        total = np.concatenate([[0], ends])
-        return ids[where], np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
-
-
-class _Words(dict):
-    """Numbers of words' ids."""
-
-    def __init__(self, encoder: TextEncoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> int:
-        e = self.encoder
-        at = e.old.get(word)
-        at = e._place(e._word(word) if at is None else e.old_ids[e.old_first[at] : e.old_first[at] + e.old_size[at]])
-        if len(word) <= MEMO_CHARS:
-            self[word] = at
-        return at
-
-
-def split_text(text: str) -> list[str]:
-    """Cut before every space that something other than white space follows; the space goes, the first part has none."""
-    parts = text.split(" ")
-    if not _WIDE.search(text):
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            out.append(p)
-        else:
-            out[-1] += " " + p
-    return out
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        if not self.cuts:
+            got = [[*self._whole(t or ""), self.end_id] for t in texts.to_pylist()]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+        data, at = utf8_of(texts)
+        starts, odd = cut_texts(data, at, self.special)
+        offsets = np.append(starts, len(data))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which = parts.indices.to_numpy()
+        different = parts.dictionary.to_pylist()
+        odd_ones = np.zeros(len(different), bool)
+        odd_ones[which[odd]] = True
+        ids, first, size = self._known(different, odd_ones)
+        stops = np.searchsorted(starts, at[1:])  # each text's end is a part of its own
+        which = np.insert(which, stops, len(different))
+        first, size = np.append(first, len(ids))[which], np.append(size, 1)[which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return gather(np.append(ids, np.uint32(self.end_id)), first, size), np.diff(total[stops + np.arange(1, len(stops) + 1)], prepend=0)
 
 
 _encoders: dict[tuple[str, int], TextEncoder] = {}
@@ -383,7 +441,7 @@ def write_tokens(
             if out is None:
                 fs.create_dir(f"{top}/_temporary/{attempt}", recursive=True)
                 out = TokenWriter(fs.open_output_stream(f"{top}/_temporary/{attempt}/part-{shard:06d}-{seq:04d}.tokens"), block, percentile)
-            ids, lengths = encoder.encode_all(batch.column(1).to_pylist())
+            ids, lengths = encoder.encode_all(batch.column(1))
             out.add(ids, batch.column(0).to_pylist(), lengths)
             release()
             if out.n_ids >= roll:

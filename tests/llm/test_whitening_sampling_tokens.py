@@ -214,6 +214,62 @@ def test_cut_texts_have_the_ids_of_whole_ones(spark, tiny):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+class Counted:
+    """An object whose calls of methods are counted."""
+
+    def __init__(self, inner, calls: list) -> None:
+        self.inner, self.calls = inner, calls
+
+    def __getattr__(self, name):
+        got = getattr(self.inner, name)
+        return (lambda *a, **k: (self.calls.append(name), got(*a, **k))[1]) if callable(got) else got
+
+
+def test_new_words_of_a_batch_are_asked_of_the_library_at_once():
+    encoder, calls, rng = token_files.TextEncoder(tokenizer_file(), 0), [], random.Random(4)
+    for name in ("tokenizer", "model", "runs"):
+        if hasattr(encoder, name) and not isinstance(getattr(encoder, name), dict):
+            setattr(encoder, name, Counted(getattr(encoder, name), calls))
+    words = ["".join(rng.choice("abcdeéü") for _ in range(rng.randint(4, 12))) + rng.choice(["", ",", ".", "17", "\nX"]) for _ in range(3000)]
+    ids, lengths = encoder.encode_all([" ".join(words[i : i + 100]) for i in range(0, 3000, 100)])
+    assert len(lengths) == 30 and len(ids) == lengths.sum()
+    assert len(calls) <= 2  # one for each word or run before
+
+
+SPANS = st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u2028", "\u3000", "a", "Bc", "é", "×", "÷", "ȿ", "ɐ", "ª", "ß", "7", "²", "٣", ".", "'", "'s", "…", "“", "日本", "あ", "🙂", "e\u0301", "\0", "\x7f", "<|endoftext|>", "<|endof", "text|>"])
+
+
+@pytest.fixture(scope="module")
+def library_and_encoder():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file()), token_files.TextEncoder(tokenizer_file(), 0)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.one_of(SPANS, st.characters(exclude_categories=["Cs"])), max_size=25).map("".join), max_size=6))
+def test_any_texts_have_the_ids_of_whole_ones(library_and_encoder, texts):
+    library, encoder = library_and_encoder
+    ids, lengths = encoder.encode_all(texts)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_remembered_parts_keep_their_ids_however_few_are_remembered(monkeypatch, library_and_encoder):
+    library, rng = library_and_encoder[0], random.Random(5)
+    monkeypatch.setattr(token_files, "MEMO_PARTS", 30)
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 9)
+    encoder = token_files.TextEncoder(tokenizer_file(), 9)
+    words = ["".join(rng.choice("abé1.日'") for _ in range(rng.randint(1, 14))) for _ in range(90)]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 8))) for _ in range(rng.randint(1, 6))]
+        ids, lengths = encoder.encode_all(pa.array(["cut off", *texts, None]).slice(1))
+        want = [[*library.encode(t, add_special_tokens=False).ids, 9] for t in [*texts, ""]]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(encoder.memo.places) <= 30 + 100
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
